@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .common import read
+from .sketch import edited_likeness
 
 
 def op7_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op7_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(read(spark, sf_dir, "documents"), keep=["doc_id"], emit=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op10_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text, with their likeness and the next document's."""
+    return edited_likeness(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
