@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import langid
 from .bpe import bpe_encode
-from .common import read
+from .common import held_out, read
 from .sketch import edited_likeness
 
 
+def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of documents, learned from the part that is not held out."""
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = langid.fit(docs, ~held_out())
+    return langid.identify(docs, model, ["doc_id", "held_out"], spans=False)
+
+
 def op7_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, encoded and decoded; digests of both."""
     return bpe_encode(read(spark, sf_dir, "documents"), keep=["doc_id"], emit=("n_tokens", "ids_sha256", "decoded_sha256"))
