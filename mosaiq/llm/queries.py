@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid
+from . import chat, langid, toxicity, warc
 from .bpe import bpe_encode
 from .common import held_out, read
 from .sketch import edited_likeness
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of a crawl log of pages, resolved; header fields as text."""
+    out = warc.resolve_revisits(warc.crawl(read(spark, sf_dir, "pages")))
+    return out.withColumn("headers", warc.header_text("headers"))
+
+
 def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text of documents, learned from the part that is not held out."""
     docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out())
@@ -19,11 +26,24 @@ def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id", "held_out"], spans=False)
 
 
+def op6_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every whole text of documents, learned from the part that is not held out."""
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out())
+    return toxicity.score(docs, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op7_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, encoded and decoded; digests of both."""
     return bpe_encode(read(spark, sf_dir, "documents"), keep=["doc_id"], emit=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preference pair from every conversation: prompt, completions and their masks' run lengths."""
+    out = chat.format_preferences(chat.with_earlier_reply(chat.conversations(read(spark, sf_dir, "conversations"))))
+    return out.select("conv_id", "n_prefix", "prompt", "chosen_completion", chat.mask("chosen_segments").alias("chosen_mask"), "rejected_completion", chat.mask("rejected_segments").alias("rejected_mask"))
+
+
 def op10_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its edited text, with their likeness and the next document's."""
     return edited_likeness(read(spark, sf_dir, "documents"))
@@ -34,4 +54,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_revisits": warc.REVISIT_SQL, "op8_preference_format": chat.PREFERENCE_SQL}
