@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, toxicity, warc
+from . import chat, langid, simhash, toxicity, warc
 from .bpe import bpe_encode
 from .common import held_out, read
 from .sketch import edited_likeness
@@ -19,6 +19,12 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("headers", warc.header_text("headers"))
 
 
+def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text of documents, learned from the part that is not held out."""
     docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out())
