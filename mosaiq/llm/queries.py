@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, simhash, toxicity, warc
+from . import chat, decontaminate, langid, linededup, simhash, toxicity, warc
 from .bpe import bpe_encode
 from .common import held_out, read
 from .sketch import edited_likeness
@@ -25,6 +25,11 @@ def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op3_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less its later repeated runs, with the number of words deleted."""
+    return linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text of documents, learned from the part that is not held out."""
     docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out())
@@ -50,6 +55,11 @@ def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_prefix", "prompt", "chosen_completion", chat.mask("chosen_segments").alias("chosen_mask"), "rejected_completion", chat.mask("rejected_segments").alias("rejected_mask"))
 
 
+def op9_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents, with their edit distances and places."""
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 def op10_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its edited text, with their likeness and the next document's."""
     return edited_likeness(read(spark, sf_dir, "documents"))
