@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, linededup, simhash, toxicity, warc
+from . import chat, decontaminate, htmltext, langid, linededup, simhash, toxicity, warc
 from .bpe import bpe_encode
 from .common import held_out, read
 from .sketch import edited_likeness
@@ -37,6 +37,11 @@ def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id", "held_out"], spans=False)
 
 
+def op5_template_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op6_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every whole text of documents, learned from the part that is not held out."""
     docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out())
