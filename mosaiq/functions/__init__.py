@@ -1 +1 @@
-
+"""Numeric functions that Spark lacks."""
