@@ -1,15 +1,8 @@
-"""Registered queries over the driver's tables and their DuckDB equivalents."""
+"""Registered queries over the test schema and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .registry import oracle_sql, queries
+from . import analysis, assays, rasters  # noqa: F401, E402  each registers its queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
