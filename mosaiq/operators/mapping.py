@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .spatial import hops, knn_join, radius_join
 
 SIMILARITIES = ("pearson", "pearson_exact", "pearson_fast")
@@ -173,6 +174,7 @@ def batches(queries: DataFrame, seeds: DataFrame, size: int, epoch: int) -> tupl
 def assign_cells(cost: DataFrame, batch_size: int = 1000, epochs: int = 1) -> DataFrame:
     """from, to, epoch, cost: for each query the seed of least cost over the epochs' batched linear
     assignments (a smaller cost later replaces an earlier one). Missing pairs cost as much as the worst."""
+    cost = cut(cost)
     queries, seeds = cost.select("query").distinct(), cost.select("seed").distinct()
     kind = cost.schema["query"].dataType.simpleString()
     other = cost.schema["seed"].dataType.simpleString()
@@ -253,7 +255,7 @@ def map_assays(seed_cells: DataFrame, seed_counts: DataFrame, query_cells: DataF
     frames = [d.withColumn("kind", F.lit(n)).select("kind", "query", "seed", "score") for n, d in parts]
     if custom is not None:
         frames.append(custom.where(F.col("kind").isin([c for c in use_cost if c in known])).select("kind", "query", "seed", "score"))
-    costs = filter_cost(reduce(DataFrame.union, frames), threshold)
+    costs = cut(filter_cost(cut(reduce(DataFrame.union, frames)), threshold))
     found = assign_cells(total_cost(costs), batch_size, epochs)
     if not allow_duplicates:
         found = dedupe(found)

@@ -130,13 +130,12 @@ def _values(name: str, *cols):
     fns = {"normal": lambda z: normal_two_sided(z), "t": t_two_sided, "effect": lambda p, a, b: effect_size(p, int(a), int(b)), "fisher": lambda a, b, n1, n2: fisher_two_sided(int(a), int(n1 - a), int(b), int(n2 - b)),
            "chisq": lambda a, b, n1, n2: _chisq(a, b, n1, n2)}
 
-    @F.pandas_udf("double")
-    def f(it: "pd.Series", *rest: "pd.Series") -> "pd.Series":  # noqa: F821
+    def f(*values):
         import pandas as pd
 
-        return pd.Series([fns[name](*v) for v in zip(it, *rest, strict=True)], dtype=float)
+        return pd.Series([fns[name](*v) for v in zip(*values, strict=True)], dtype=float)
 
-    return f(*cols)
+    return F.pandas_udf(f, "double", F.PandasUDFType.SCALAR)(*cols)
 
 
 def _chisq(a: float, b: float, n1: float, n2: float) -> float:
