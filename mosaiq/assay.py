@@ -152,3 +152,28 @@ class SpatialAssay:
         if genes:
             raw = raw.where(F.col("feature").isin(genes))
         return SpatialAssay.build(self.get_coordinates(True).join(keep, "barcode", "left_semi"), raw, name=self.name, scale=self.meta.get("scale", "auto"))
+
+    def with_markers(self, found: DataFrame, tag: str = "DEG") -> SpatialAssay:
+        return replace(self, deg=self.deg | {trial_name(list(self.deg), tag): found})._logged("identify_markers", tag=tag)
+
+    def mapped_on(self, seed: SpatialAssay, matches: DataFrame, costs: DataFrame | None = None, trials: tuple[str, ...] = (), jitter: float = 0) -> SpatialAssay:
+        """This assay at the places of the matched seeds (mapping.align), with the match's scores and the
+        named label trials of the matched barcodes."""
+        from .operators.mapping import align
+
+        at = align(matches, seed.get_coordinates(original=True), jitter)
+        own = at.select("barcode", F.col("from").cast("string").alias("source"))
+        counts = {k: c.withColumnRenamed("barcode", "source").join(own, "source").select("feature", "barcode", "value") for k, c in self.counts.items()}
+        labels = {t: own.join(self.territories[t].withColumnRenamed("barcode", "source"), "source").select("barcode", "label") for t in trials}
+        return SpatialAssay(f"mapped_{self.name}", snap(at.select("barcode", "x", "y")), counts, territories=labels, cost=costs, mapping=matches, meta=dict(self.meta), active_counts=self.active_counts)._logged("map_assays", jitter=jitter)
+
+    def mapping_scores(self) -> DataFrame:
+        """Coordinates, seed barcode and scores of a mapped assay."""
+        if self.mapping is None:
+            raise ValueError("the assay was not mapped")
+        own = self.cells.select("barcode", "x", "y", F.regexp_replace("barcode", "-[0-9]+$", "").alias("__b"))
+        return own.join(self.mapping.withColumn("__b", F.col("from").cast("string")), "__b").drop("__b")
+
+    def describe(self) -> dict:
+        """What the assay holds, without running anything."""
+        return {"assay": self.name, "tiles": self.tiles is not None, "counts": list(self.counts), "active_counts": self.active_counts, "embeddings": list(self.embeddings), "active_embedding": self.active_embedding, "territories": list(self.territories), "markers": list(self.deg), "mapped": self.mapping is not None}

@@ -99,3 +99,18 @@ def layers(cells: DataFrame, tiles: DataFrame, territory: list[str], depth: int
         depth = None
     n = F.col("n") if depth is None else F.ceil(F.col("n") * depth / k)
     return cells.select("barcode").join(found, "barcode", "left").select("barcode", F.coalesce(n.cast("string"), F.lit("out")).alias("layer"))
+
+
+def dispatch(cells: DataFrame, first: list[str] | None = None, second: list[str] | None = None, selected: DataFrame | None = None) -> DataFrame:
+    """cells with territory as it is for those named and `other` elsewhere (all as they are if none is
+    named). With selected (barcode), only those barcodes keep a name, which is that of their side: the
+    named territories joined by a space."""
+    name = lambda ts: " ".join(map(str, ts))
+    t = F.col("territory")
+    one, two = (t.isin([str(x) for x in ts]) if ts else F.lit(False) for ts in (first, second))
+    keep = (one | two) if first or second else F.lit(True)
+    if selected is None:
+        return cells.withColumn("territory", F.when(keep, t).otherwise(F.lit("other")))
+    label = F.when(one, F.lit(name(first or []))).when(two, F.lit(name(second or []))).otherwise(t if not (first or second) else F.lit("other"))
+    own = selected.select("barcode").distinct().withColumn("__own", F.lit(True))
+    return cells.join(own, "barcode", "left").withColumn("territory", F.when(F.col("__own"), label).otherwise(F.lit("other"))).drop("__own")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import holm
+from ..functions.numeric import benjamini_hochberg, holm
 from ..operators import mapping, markers, metrics, views
 from ..sources.bindings import CELLS, COUNTS, LATENT, latent_assay, retail_cells, retail_counts
 from .registry import query, rounded
@@ -271,3 +271,48 @@ def filter_assay(spark, sf):
 @query(f"WITH {CELLS} SELECT territory AS label, count(*) AS n FROM cells GROUP BY 1")
 def territory_summary(spark, sf):
     return retail_cells(spark, sf).groupBy(F.col("territory").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{_RANK}, p AS (SELECT pair, feature, least(1, 2 * exp(-z * z / 2)) AS p FROM z), n AS (SELECT *, count(*) OVER (PARTITION BY pair) AS n, row_number() OVER (PARTITION BY pair ORDER BY p, feature) AS i FROM p)
+SELECT pair, feature, round(min(least(1, n / i * p)) OVER (PARTITION BY pair ORDER BY p DESC, feature DESC), 6) AS p_adj FROM n""")
+def bh_adjust(spark, sf):
+    """The false discovery rate's adjustment of the same bounds as holm_adjust."""
+    r = markers.rank_sum(*_kept(spark, sf)).select("pair", "feature", F.least(F.lit(1.0), 2 * F.exp(-F.col("z") * F.col("z") / 2)).alias("p"))
+    return rounded(r.withColumn("p_adj", benjamini_hochberg("p", "pair", "feature")).drop("p"), "p_adj")
+
+
+@query(f"WITH {CELLS} SELECT '1' AS pair, CASE WHEN territory = 'BUILDING' THEN 'seed' ELSE 'query' END AS side, 'BUILDING' AS seed, 'MACHINERY FURNITURE' AS query, barcode FROM cells WHERE territory IN ('BUILDING', 'MACHINERY', 'FURNITURE')")
+def deg_groups_pair(spark, sf):
+    return markers.groups(retail_cells(spark, sf), ["BUILDING"], ["MACHINERY", "FURNITURE"])
+
+
+@query(f"WITH {CELLS} SELECT barcode, x, y, CASE WHEN territory IN ('BUILDING', 'MACHINERY') THEN territory ELSE 'other' END AS territory, cell_type FROM cells")
+def dispatch_territory(spark, sf):
+    from ..operators.territory import dispatch
+
+    return dispatch(retail_cells(spark, sf), ["BUILDING"], ["MACHINERY"])
+
+
+@query(f"WITH {CELLS}, r AS (SELECT territory, CAST(row_number() OVER (ORDER BY territory) AS INTEGER) AS color FROM (SELECT DISTINCT territory FROM cells)) SELECT barcode, x, y, territory, color, round(CASE WHEN territory = 'BUILDING' THEN 0.65 ELSE 0.0975 END, 6) AS alpha FROM cells JOIN r USING (territory)")
+def territory_plot(spark, sf):
+    return rounded(views.territory_plot(retail_cells(spark, sf), ["BUILDING"]), "alpha")
+
+
+@query(f"""WITH {_BEST}, n AS (SELECT bm.*, row_number() OVER (PARTITION BY "from" ORDER BY cost, "to") - 1 AS n FROM bm)
+SELECT CAST("from" AS VARCHAR) || CASE WHEN n > 0 THEN '-' || n ELSE '' END AS barcode, x, y, "from", "to" FROM n JOIN sd ON sd.barcode = "to" """)
+def align_index(spark, sf):
+    return mapping.align(_best(spark, sf), _sides(spark, sf)[0])
+
+
+@query(f"WITH {COUNTS}, t AS (SELECT feature, sum(value) AS total FROM counts GROUP BY 1) SELECT feature FROM t WHERE total > (SELECT quantile_cont(total, 0.25) FROM t)")
+def top_features(spark, sf):
+    from ..operators.normalize import top_features as top
+
+    return top(retail_counts(spark, sf), 0.25)
+
+
+@query(f"WITH {COUNTS}, g AS (SELECT feature, barcode, value, count(*) FILTER (value > 0) OVER (PARTITION BY feature) AS nnz FROM counts) SELECT feature, any_value(nnz) AS nnz, round(sum(value) / (SELECT count(*) FROM customer), 6) AS mean FROM g GROUP BY feature")
+def feature_means(spark, sf):
+    from ..operators.normalize import moments
+
+    return rounded(moments(retail_counts(spark, sf), retail_cells(spark, sf).count()).select("feature", "nnz", "mean"), "mean")

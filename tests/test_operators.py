@@ -217,3 +217,16 @@ def test_no_warning_for_known_genes(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
         assert views.gene_expression(k, c, ["g"], norm=False).first()["value"] == 2.0
+
+
+def test_mapped_assay(spark):
+    g = grid(spark, 4, 1.0)
+    counts = spark.createDataFrame([("f", f"barcode{i}", float(i)) for i in range(1, 17)], "feature string, barcode string, value double")
+    a, b = SpatialAssay.build(g, counts, scale=1), SpatialAssay.build(g, counts, name="query", scale=1)
+    m = spark.createDataFrame([("barcode1", "barcode2", 1, 0.1), ("barcode3", "barcode2", 1, 0.2)], "`from` string, `to` string, epoch int, cost double")
+    out = b.mapped_on(a, m)
+    assert {(r["barcode"], r["x"], r["y"]) for r in out.get_coordinates(True).collect()} == {("barcode1", 1.0, 2.0), ("barcode3", 1.0, 2.0)}
+    assert out.mapping_scores().count() == 2 and out.get_counts().count() == 2
+    assert out.describe()["mapped"] and out.name == "mapped_query"
+    with pytest.raises(ValueError):
+        a.mapping_scores()
