@@ -56,6 +56,28 @@ def equalize_plateau(pixels: DataFrame, down: float = 10, up: float = 100, bins:
     return binned.join(F.broadcast(share), ["dim", "b"]).select("dim", "x", "y", "value")
 
 
+EQUALIZERS = ("ECDF", "BalanceSimplest", "EqualizePiecewise", "SPE", "EqualizeDP", "EqualizeADP")
+
+
+def equalize(pixels: DataFrame, method: str = "BalanceSimplest", n: int = 1, sleft: float = 1, sright: float = 1, weight: float = 0.1, up: float = 100, down: float = 10) -> DataFrame:
+    """Histogram methods by name. EqualizeADP takes its plateaus, as multiples of a bin's mean count, from
+    `down` and `up` in per cent."""
+    if method == "ECDF":
+        return ecdf(pixels)
+    if method == "BalanceSimplest":
+        return balance_simplest(pixels, sleft, sright)
+    if method == "EqualizePiecewise":
+        return equalize_piecewise(pixels, n)
+    if method == "SPE":
+        return screened_poisson(pixels, weight)
+    if method == "EqualizeDP":
+        return equalize_plateau(pixels, down, up)
+    if method == "EqualizeADP":
+        mean = pixels.groupBy("dim").count().agg(F.max("count")).first()[0] / 256
+        return equalize_plateau(pixels, down / 100 * mean, up / 100 * mean * 10)
+    raise ValueError(f"unknown equalisation {method!r}: {', '.join(EQUALIZERS)}")
+
+
 def box_blur(pixels: DataFrame, half: int) -> DataFrame:
     """Mean of the square of 2 half + 1 pixels, clipped at the image's border: two passes of windows."""
     row = W.partitionBy("dim", "y").orderBy("x").rangeBetween(-half, half)

@@ -28,7 +28,15 @@ def concat_counts(a: DataFrame, b: DataFrame) -> DataFrame:
 def joint(a: DataFrame, b: DataFrame, method: str = "interlace", dims: int | None = None) -> DataFrame:
     if method in ("interlace", "mean"):
         return (interlace if method == "interlace" else average)(a, b, dims)
-    raise ValueError(f"unknown method {method!r}: interlace, mean (concat: embed concat_counts anew)")
+    raise ValueError(f"unknown method {method!r}: interlace, mean (concat: concat_embed)")
+
+
+def concat_embed(a: DataFrame, b: DataFrame, normalization: str = "log_norm", dim_reduction: str = "PCA", dims: int = 30, n_features: int = 2000) -> DataFrame:
+    """Both modalities' counts of shared barcodes, embedded together."""
+    from .embed import generate_embeddings
+
+    both = concat_counts(a, b)
+    return generate_embeddings(both, both.select("barcode").distinct(), dim_reduction, normalization, dims, n_features)
 
 
 def back_infer(embeds: DataFrame, loadings: DataFrame, means: DataFrame) -> DataFrame:
@@ -102,3 +110,17 @@ def integrate_counts(matched: DataFrame, reference: DataFrame, n_features: int =
     out = da.mapInPandas(project(ma, "matched"), "barcode string, sample string, vec array<double>").union(db.mapInPandas(project(mb, "reference"), "barcode string, sample string, vec array<double>"))
     ends = out.select(F.posexplode("vec").alias("i", "v")).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("e"))
     return out.crossJoin(F.broadcast(ends)).select("barcode", "sample", F.transform("vec", lambda v, i: F.when(F.col("e")[i]["hi"] > F.col("e")[i]["lo"], (v - F.col("e")[i]["lo"]) / (F.col("e")[i]["hi"] - F.col("e")[i]["lo"])).otherwise(v)).alias("vec"))
+
+
+def integrate_assays(mapped: DataFrame, mapped_counts: DataFrame, reference: DataFrame, reference_counts: DataFrame, n_features: int = 2000, dims: int = 30, label_mapped: str = "territory", label_reference: str = "territory") -> dict[str, DataFrame]:
+    """coordinates, counts (matched barcodes prefixed by `m:`), embedding and territories of a mapped
+    sample and its reference. mapped, reference: barcode, x, y and labels."""
+    tag = lambda df: df.withColumn("barcode", F.concat(F.lit("m:"), "barcode"))
+    m, mc = tag(mapped), tag(mapped_counts)
+    labels = lambda df: df.drop("x", "y")
+    return {
+        "coordinates": merge_coordinates(m, reference),
+        "counts": mc.unionByName(reference_counts),
+        "embedding": integrate_counts(mc, reference_counts, n_features, dims),
+        "territories": merge_territories(labels(m), labels(reference), label_mapped, label_reference),
+    }

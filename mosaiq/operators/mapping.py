@@ -198,6 +198,12 @@ def assign_cells(cost: DataFrame, batch_size: int = 1000, epochs: int = 1) -> Da
     return best_match(reduce(DataFrame.union, found))
 
 
+def cost_by_epoch(matches_of_epochs: DataFrame) -> DataFrame:
+    """epoch, cost: the mean cost of what is matched after each epoch, a query's best match so far."""
+    w = W.partitionBy("from").orderBy("epoch").rowsBetween(W.unboundedPreceding, 0)
+    return matches_of_epochs.groupBy("from", "epoch").agg(F.min("cost").alias("cost")).withColumn("cost", F.min("cost").over(w)).groupBy("epoch").agg(F.avg("cost").alias("cost"))
+
+
 def best_match(matches: DataFrame) -> DataFrame:
     """Of rows (from, to, cost, epoch) the one of least cost for each from, ties by epoch, then to."""
     return matches.groupBy("from").agg(F.min(F.struct("cost", "epoch", "to")).alias("b")).select("from", "b.to", "b.epoch", "b.cost")

@@ -238,6 +238,15 @@ def lap_mapping(spark, sf):
     return mapping.assign_cells(mapping.total_cost(_costs(spark, sf)), 200, 2)
 
 
+@query(f"""WITH {COSTS}, tc AS (SELECT query, seed, round(sum(1 - score), 4) AS cost FROM cs GROUP BY 1, 2), m AS (SELECT query, epoch, min(cost) AS cost FROM tc, range(1, 4) t(epoch) WHERE seed % 3 < epoch GROUP BY 1, 2),
+b AS (SELECT query, epoch, min(cost) OVER (PARTITION BY query ORDER BY epoch) AS cost FROM m) SELECT CAST(epoch AS INTEGER) AS epoch, round(avg(cost), 5) AS cost FROM b GROUP BY epoch""")
+def cost_by_epoch(spark, sf):
+    """Epochs in which ever more seeds are on offer; each query's best match so far counts."""
+    t = rounded(mapping.total_cost(_costs(spark, sf)), "cost", digits=4)
+    m = t.withColumn("epoch", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("seed % 3 < epoch")
+    return rounded(mapping.cost_by_epoch(m.select(F.col("query").alias("from"), F.col("seed").alias("to"), "epoch", "cost")), "cost", digits=5)
+
+
 @query()
 def map_assays(spark, sf):
     c, k = retail_cells(spark, sf), retail_counts(spark, sf)

@@ -240,3 +240,22 @@ def voronoi_tiles(spark, sf):
 def integrate_counts(spark, sf):
     c = retail_counts(spark, sf)
     return integrate.integrate_counts(c, c.withColumn("barcode", F.concat(F.lit("r"), "barcode")), 20, 5)
+
+
+@query()
+def louvain_superpixels(spark, sf):
+    a = latent_assay(spark, sf)
+    return segment.generate_spix(a.select("barcode", "vec"), a, "louvain_slic", 1.0)[0]
+
+
+@query()
+def concat_embed(spark, sf):
+    c = retail_counts(spark, sf)
+    return integrate.concat_embed(c, c, dims=5, n_features=30)
+
+
+@query()
+def integrate_assays(spark, sf):
+    cells, c = retail_cells(spark, sf).drop("cell_type"), retail_counts(spark, sf)
+    out = integrate.integrate_assays(cells, c, cells, c, 20, 5)
+    return out["coordinates"].join(out["embedding"].drop("sample"), "barcode")

@@ -74,6 +74,11 @@ def equalize_plateau(spark, sf):
     return rounded(image.equalize_plateau(_pixels(spark, sf)), "value")
 
 
+@query()
+def equalize_adaptive(spark, sf):
+    return rounded(image.equalize(_pixels(spark, sf), "EqualizeADP"), "value")
+
+
 @query()
 def smooth_iso(spark, sf):
     return rounded(image.smooth(_pixels(spark, sf), "iso", 2, [1, 2], across="mean"), "value")
