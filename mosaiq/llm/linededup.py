@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, mix, slices, written
+from .common import SLICE_CHARS, Memo, mix, slices, written
 
 WRAP, GRAM, WINDOW, MIN_WORDS = 8, 10, 2, 30
 _LAST = 2**63 - 1
@@ -122,15 +123,33 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For wanted fingerprints of first documents, the lines before and after their gram, up to those
     of the neighbouring fingerprints."""
     for batch in batches:
-        wanted, lines, fp, at, until = (batch.column(i) for i in range(5))
-        hashes, before, after = [], [], []
+        wanted, lines, fp, at, until, first = (batch.column(i) for i in range(6))
+        hashes, before, after, doc = [], [], [], []
         for k in range(batch.num_rows):
             want, l, f, a, u = (np.asarray(c[k].values) for c in (wanted, lines, fp, at, until))
             for j in np.unique(f, return_index=True)[1][np.isin(np.unique(f), want)].tolist():
                 hashes.append(f[j])
+                doc.append(first[k].as_py())
                 before.append(l[a[j - 1] if j else 0 : a[j]][::-1])
                 after.append(l[u[j] : u[j + 1] if j + 1 < len(f) else len(l)])
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(before, pa.list_(pa.int32())), pa.array(after, pa.list_(pa.int32()))], names=["h", "before", "after"])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(before, pa.list_(pa.int32())), pa.array(after, pa.list_(pa.int32())), pa.array(doc, pa.int64())], names=["h", "before", "after", "m"])
+
+
+def _seeds(column: pa.ListArray):
+    """A function of a row number: fingerprint -> contexts of its first document, from the arrays themselves."""
+    rows, held = np.asarray(column.offsets), column.values
+    h = held.field("h").to_numpy(zero_copy_only=False)
+    sides = [(np.asarray(held.field(n).offsets), np.asarray(held.field(n).values)) for n in ("before", "after")]
+    valid = np.asarray(held.is_valid())
+
+    def of(i: int) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        out: dict[int, list] = {}
+        for j in range(rows[i], rows[i + 1]):
+            if valid[j]:
+                out.setdefault(int(h[j]), []).append(tuple(v[o[j] : o[j + 1]] for o, v in sides))
+        return out
+
+    return of
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> int:
@@ -174,13 +193,13 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs with text less its later repeated runs, and n_removed, the number of words deleted. Every
     row stays. docs has doc_id and text; other columns are kept as they are."""
     table = written(_fingerprints(docs))
-    each = table.select("o", F.explode("fp").alias("h"))
-    firsts = each.groupBy("h").agg(F.min("o").alias("m"), F.max("o").alias("x")).where("x > m").select("h", "m")
-    firsts = written(firsts)
+    each = table.select("o", F.explode(F.array_distinct("fp")).alias("h"))
+    firsts = each.groupBy("h").agg(F.min("o").alias("m"), F.max("o").alias("x")).where("x > m")
     wanted = firsts.groupBy("m").agg(F.collect_list("h").alias("want"))
     sources = wanted.join(table, F.col("m") == F.col("o")).select("want", "lines", "fp", "at", "until", "m")
-    contexts = sources.mapInArrow(_contexts, "h long, before array<int>, after array<int>")
-    seeds = each.join(firsts, "h").where("o > m").select("o", "h").distinct().join(contexts, "h").select("o", F.struct("h", "before", "after").alias("s"))
+    contexts = sources.mapInArrow(_contexts, "h long, before array<int>, after array<int>, m long")
+    # a join of two exchanges alone, so that a fingerprint of very many documents can be split
+    seeds = each.join(contexts, "h").where("o > m").select("o", F.struct("h", "before", "after").alias("s"))
     found = seeds.union(table.where("repeats").select("o", F.lit(None).cast(seeds.schema["s"].dataType).alias("s"))).groupBy("o").agg(F.collect_list("s").alias("__seeds"))
     names = [c for c in docs.columns if c != "n_removed"]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_removed", T.LongType())])
@@ -190,19 +209,23 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo()
         for batch in batches:
-            for part, texts in slices(batch, "text"):
-                seeds = part.column(len(names))
-                some = np.flatnonzero(np.asarray(seeds.is_valid()))
-                x = Lines([texts[i] for i in some], memo)
-                removed = np.zeros(len(texts), np.int64)
-                for k, i in enumerate(some.tolist()):
-                    matches: dict[int, list] = {}
-                    for s in seeds[i].as_py():
-                        matches.setdefault(s["h"], []).append((np.array(s["before"], np.int32), np.array(s["after"], np.int32)))
-                    if texts[i] and (runs := repeated(x, k, matches, least)):
-                        texts[i] = without(texts[i], runs)
+            col, seeds = batch.column(place), batch.column(len(names))
+            some = np.flatnonzero(np.asarray(seeds.is_valid()) & np.asarray(col.is_valid()))
+            found, removed = _seeds(seeds), np.zeros(batch.num_rows, np.int64)
+            changed, new = np.zeros(batch.num_rows, bool), []
+            sizes = np.cumsum(np.asarray(pc.binary_length(col.take(pa.array(some, pa.int64())))))
+            at = 0
+            while at < len(some):
+                end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + SLICE_CHARS)))
+                texts = col.take(pa.array(some[at:end], pa.int64())).to_pylist()
+                x = Lines(texts, memo)
+                for k, i in enumerate(some[at:end].tolist()):
+                    if runs := repeated(x, k, found(i), least):
+                        new.append(without(texts[k], runs))
+                        changed[i] = True
                         removed[i] = sum(b - a for a, b in runs)
-                arrays = [part.column(j) if j != place else pa.array(texts, pa.string()) for j in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed)], names=schema.names)
+                at = end
+            text = pc.replace_with_mask(col, pa.array(changed), pa.array(new, pa.string())) if new else col
+            yield pa.RecordBatch.from_arrays([*(batch.column(j) if j != place else text for j in range(len(names))), pa.array(removed)], names=schema.names)
 
     return joined.mapInArrow(run, schema)
