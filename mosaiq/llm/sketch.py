@@ -84,6 +84,7 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 def bottom_k(docs: DataFrame, keep: list[str], text: str = "text", k: int = K, n: int = 5) -> DataFrame:
     """The columns in `keep`, `sketch` (base64 of big-endian hashes) and `n_shingles`, the estimate."""
+    keep = [c for c in keep if c not in ("sketch", "n_shingles")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("sketch", T.StringType()), T.StructField("n_shingles", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -146,7 +146,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 15, batch: i
 def fit(docs: DataFrame, labels: DataFrame, where: Column, text: str = "text", label: str = "toxic", by: str = "doc_id", limit: int = FIT_DOCUMENTS) -> FactorizationMachine:
     """Learns from at most `limit` labelled documents for which `where` holds, those whose hashed `by`
     is smallest. The sample of labels is bounded by `limit`, so it is broadcast to the join."""
-    rows = labels.where(F.col(label).isNotNull() & F.col(by).isNotNull()).select(by, F.col(label).alias("label")).dropDuplicates([by])
+    rows = labels.where(F.col(label).isNotNull() & F.col(by).isNotNull()).groupBy(by).agg(F.max(label).alias("label"))
     sample = rows.withColumn("h", F.xxhash64(by)).where(where).orderBy("h", by).limit(limit)
     found = docs.select(by, F.col(text).alias("text")).join(F.broadcast(sample), by).where(F.col("text").isNotNull()).dropDuplicates([by]).select("text", "label").limit(limit).collect()
     make = Features()
@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, text: str = "text", l
 
 
 def score(docs: DataFrame, model: FactorizationMachine, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in `keep` and score."""
+    """The columns in `keep` (one named score is left out) and score."""
+    keep = [c for c in keep if c != "score"]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by that of the sample it was fitted on
 
