@@ -1,15 +1,16 @@
 """Line deduplication by winnowing.
 
-Lines are a text's own lines, long ones wrapped after words that a hash picks (every eighth on
-average), so that a passage inside a line has the same inner lines wherever it stands. A gram is the
-fewest lines from a line on that hold GRAM words. Of every WINDOW neighbouring grams the one of least
-hash is a fingerprint, so a shared run of WINDOW grams shares one for certain. Fingerprints are joined
-by hash to the first document that has them, and each match is extended line by line both ways, as far
-as its neighbouring fingerprints, which match on their own. Runs of matched lines of MIN_WORDS or more
-are deleted where they come later: in documents of a larger doc_id, or later in the same one.
-
-All that stands before is kept, so what is deleted is left in an earlier place. Line hashes used in
-extending have 32 bits, fingerprints 64.
+A gram is GRAM words in a row, wherever lines end. Of every WINDOW neighbouring grams the one of least
+hash is a fingerprint, so any two runs of GRAM + WINDOW - 1 (51) equal words share one for certain, and
+of a longer shared run the fingerprints are at most WINDOW words apart, so that their grams leave no gap.
+Fingerprints are joined by hash to the first document that has them, and each match is extended word by
+word both ways, by WINDOW - 1 words, beyond which the next fingerprint matches on its own. Runs of
+matched words of MIN_WORDS or more (each gram has as many) are deleted where they come later: in
+documents of a larger doc_id, or later in the same one.
+
+All that stands before is kept, so what is deleted is left in an earlier place. Word hashes used in
+extending have 32 bits, fingerprints 64. Only the first document of a fingerprint is compared: if it has
+a part of a run that another earlier document has whole, up to WINDOW - 1 words may stay at either end.
 
 Null texts stay null, empty ones empty. Rows of one doc_id count as one document: they aren't compared
 with each other. A null doc_id comes after all others; such rows aren't compared with each other.
@@ -18,7 +19,7 @@ with each other. A null doc_id comes after all others; such rows aren't compared
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,68 +31,66 @@ from pyspark.sql import types as T
 
 from .common import SLICE_CHARS, Memo, mix, slices, written
 
-WRAP, GRAM, WINDOW, MIN_WORDS = 8, 10, 2, 30
+GRAM, WINDOW, MIN_WORDS = 30, 22, 30
+_SIDE = WINDOW - 1
 _LAST = 2**63 - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _word = re.compile(r"\S+")
+_steps = np.arange(_SIDE)
 
 
-class Lines:
-    """Lines, grams and fingerprints of some texts. Arrays run over all lines of all texts: doc,
-    begin (first word in the text), words, hash (32 bits), gram (64 bits), end (line after the gram),
-    picked (whether it is a fingerprint). `at` has each text's first line."""
+class Words:
+    """Words and fingerprints of some texts. hash (32 bits) runs over all words of all texts, `at` has
+    each text's first word and the end; picked are the places of the fingerprints' first words, fp the
+    hashes of their grams (64 bits), and `cut` each text's first fingerprint and the end."""
 
     def __init__(self, texts: list[str | None], memo: Memo):
-        own, breaks, counts = [], [], []
+        own, counts = [], []
         for t in texts:
-            n = 0
-            for line in (t or "").split("\n"):
-                w = line.split()
-                if w:
-                    own += w
-                    n += len(w)
-                    breaks.append(len(own))
-            counts.append(n)
+            w = t.split() if t else []
+            own += w
+            counts.append(len(w))
         h = np.fromiter(map(memo.__getitem__, own), _U, len(own))
         memo.trim()
-        last = np.zeros(len(h) + 1, bool)
-        last[np.array(breaks, np.int64)] = True
-        ends = np.flatnonzero(last[1:] | ((h >> _U(40)) % _U(WRAP) == 0)) + 1
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        first = np.cumsum(counts) - counts
-        n = len(begins)
-        self.doc = (np.searchsorted(first, begins, side="right") - 1).astype(np.int64)
-        # an empty text shares its first word's place with the text after it
-        self.at = np.searchsorted(begins, first)
-        self.begin, self.words = begins - first[self.doc] if n else begins, ends - begins
-        place = (np.arange(len(h)) - np.repeat(begins, self.words)).astype(_U)
-        long = np.add.reduceat(mix(h + place * _U(0xD1342543DE82EF95)), begins) if n else h
-        self.hash = (long >> _U(32)).astype(np.uint32).view(np.int32)
-        stop = np.append(self.at, n)[self.doc + 1] if n else begins
-        self.end = np.searchsorted(ends, begins + GRAM) + 1 if n else begins
-        whole = self.end <= stop
-        power = np.concatenate([[_U(1)], np.cumprod(np.full(n, _BASE, _U))])
-        total = np.concatenate([[_U(0)], np.cumsum(long * power[:-1])])
-        back = np.concatenate([[_U(1)], np.cumprod(np.full(max(0, n - 1), _BACK, _U))])[:n]
-        to = np.minimum(self.end, n)
-        self.gram = mix((total[to] - total[:n]) * back + (to - np.arange(n)).astype(_U)) if n else h
-        self.picked = np.zeros(n, bool)
-        g = np.where(whole, self.gram, _U(2**64 - 1))
-        w = min(WINDOW, n) or 1
-        if n:
-            rows = np.lib.stride_tricks.sliding_window_view(g, w)
-            i = np.arange(len(rows))
-            inner = (self.doc[: len(rows)] == self.doc[w - 1 :]) & whole[w - 1 :]
-            pick = i + w - 1 - rows[:, ::-1].argmin(axis=1)
-            self.picked[pick[inner]] = True
+        n = len(h)
+        self.at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self.hash = (h >> _U(32)).astype(np.uint32).view(np.int32)
+        self.picked, self.fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        m = n - GRAM + 1
+        if m > 0:
+            power = np.concatenate([[_U(1)], np.cumprod(np.full(n - 1, _BASE, _U))])
+            back = np.concatenate([[_U(1)], np.cumprod(np.full(m - 1, _BACK, _U))])
+            total = np.concatenate([[_U(0)], np.cumsum(h * power)])
+            gram = mix((total[GRAM:] - total[:-GRAM]) * back)
+            i = np.arange(m)
+            left = np.repeat(self.at[1:], counts)[:m] - i
+            # the place in the low bits: of equal grams in a window the last is picked
+            mask = _U((1 << max(24, n.bit_length())) - 1)
+            low = np.where(left >= GRAM, gram & ~mask | (mask - i.astype(_U)), _U(2**64 - 1))
+            span = 1
+            while span < min(WINDOW, m):
+                step = min(span, WINDOW - span)
+                low, span = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0], span + step
+            picked = np.zeros(m, bool)
+            picked[(mask - (low[left[: len(low)] >= GRAM + _SIDE] & mask)).astype(np.int64)] = True
             # texts with fewer grams than a window: all of them
-            few = np.bincount(self.doc[whole], minlength=len(texts)) < w
-            self.picked |= whole & few[self.doc]
+            picked |= (left >= GRAM) & (np.repeat(counts, counts)[:m] < GRAM + _SIDE)
+            self.picked = np.flatnonzero(picked)
+            self.fp = gram[self.picked].view(np.int64)
+        self.cut = np.searchsorted(self.picked, self.at)
+
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes, places of fingerprints and fingerprints of text k."""
+        a, s = self.at[k], slice(self.cut[k], self.cut[k + 1])
+        return self.hash[a : self.at[k + 1]], self.picked[s] - a, self.fp[s]
+
 
-    def of(self, k: int) -> slice:
-        return slice(int(self.at[k]), int(self.at[k + 1]) if k + 1 < len(self.at) else len(self.doc))
+def around(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each gram the words before it, the nearest first, and those after it; zeros beyond the text."""
+    padded = np.concatenate([np.zeros(_SIDE, np.int32), words, np.zeros(_SIDE, np.int32)])
+    return padded[np.hstack([at[:, None] + (_SIDE - 1) - _steps, at[:, None] + _SIDE + GRAM + _steps])]
 
 
 def _memo() -> Memo:
@@ -99,84 +98,90 @@ def _memo() -> Memo:
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    """o (doc_id, the largest long if null), lines, fp and at (the line of each fp); repeats: whether a
-    fingerprint comes twice."""
-    kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    """o (doc_id, the largest long if null), fp, and repeats: whether a fingerprint comes twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo()
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                x = Lines(texts, memo)
-                rows = []
-                for k in range(len(texts)):
-                    s = x.of(k)
-                    at = np.flatnonzero(x.picked[s])
-                    rows.append((x.hash[s], x.gram[s][at].view(np.int64), at.astype(np.int32), (x.end[s][at] - s.start).astype(np.int32)))
-                repeats = [len(np.unique(r[1])) < len(r[1]) for r in rows]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], kinds[i]) for i in range(4)), pa.array(repeats)], names=["o", "lines", "fp", "at", "until", "repeats"])
-
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("o"), "text").mapInArrow(run, "o long, lines array<int>, fp array<long>, at array<int>, until array<int>, repeats boolean")
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For wanted fingerprints of first documents, the lines before and after their gram, up to those
-    of the neighbouring fingerprints."""
-    for batch in batches:
-        wanted, lines, fp, at, until, first = (batch.column(i) for i in range(6))
-        hashes, before, after, doc = [], [], [], []
-        for k in range(batch.num_rows):
-            want, l, f, a, u = (np.asarray(c[k].values) for c in (wanted, lines, fp, at, until))
-            for j in np.unique(f, return_index=True)[1][np.isin(np.unique(f), want)].tolist():
-                hashes.append(f[j])
-                doc.append(first[k].as_py())
-                before.append(l[a[j - 1] if j else 0 : a[j]][::-1])
-                after.append(l[u[j] : u[j + 1] if j + 1 < len(f) else len(l)])
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(before, pa.list_(pa.int32())), pa.array(after, pa.list_(pa.int32())), pa.array(doc, pa.int64())], names=["h", "before", "after", "m"])
+                x = Words(texts, memo)
+                every = [x.of(k)[2] for k in range(len(texts))]
+                once = [np.unique(f) for f in every]
+                repeats = [len(a) < len(b) for a, b in zip(once, every, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(once, pa.list_(pa.int64())), pa.array(repeats)], names=["o", "fp", "repeats"])
 
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("o"), "text").mapInArrow(run, "o long, fp array<long>, repeats boolean")
 
-def _seeds(column: pa.ListArray):
-    """A function of a row number: fingerprint -> contexts of its first document, from the arrays themselves."""
-    rows, held = np.asarray(column.offsets), column.values
-    h = held.field("h").to_numpy(zero_copy_only=False)
-    sides = [(np.asarray(held.field(n).offsets), np.asarray(held.field(n).values)) for n in ("before", "after")]
-    valid = np.asarray(held.is_valid())
 
-    def of(i: int) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-        out: dict[int, list] = {}
-        for j in range(rows[i], rows[i + 1]):
-            if valid[j]:
-                out.setdefault(int(h[j]), []).append(tuple(v[o[j] : o[j + 1]] for o, v in sides))
-        return out
+def _runs_of_rows(col: pa.Array, rows: np.ndarray) -> Iterator[tuple[list[int], list[str]]]:
+    """Row numbers and texts of some rows of a column, about SLICE_CHARS bytes at a time."""
+    sizes = np.cumsum(np.asarray(pc.binary_length(col.take(pa.array(rows, pa.int64())))))
+    at = 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + SLICE_CHARS)))
+        yield rows[at:end].tolist(), col.take(pa.array(rows[at:end], pa.int64())).to_pylist()
+        at = end
+
 
-    return of
+def _contexts(place: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For wanted fingerprints of first documents, the words around their gram. The text is column
+    `place`; the last two columns are the wanted hashes and the document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _memo()
+        for batch in batches:
+            col, wanted, doc = batch.column(place), *batch.columns[-2:]
+            for rows, texts in _runs_of_rows(col, np.flatnonzero(np.asarray(col.is_valid()))):
+                x = Words(texts, memo)
+                hashes, near, docs = [], [], []
+                for k, i in enumerate(rows):
+                    words, at, fp = x.of(k)
+                    once, first = np.unique(fp, return_index=True)
+                    some = np.isin(once, np.asarray(wanted[i].values))
+                    hashes.append(once[some])
+                    near.append(around(words, at[first[some]]).ravel())
+                    docs.append(np.full(int(some.sum()), doc[i].as_py(), np.int64))
+                h, v = np.concatenate(hashes), np.concatenate(near)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * 2 * _SIDE, pa.int32()), pa.array(v, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), lists, pa.array(np.concatenate(docs), pa.int64())], names=["h", "near", "m"])
+
+    return run
 
 
-def _same(a: np.ndarray, b: np.ndarray) -> int:
-    """How many elements agree from the start on."""
-    n = min(len(a), len(b))
-    odd = np.flatnonzero(a[:n] != b[:n])
-    return int(odd[0]) if len(odd) else n
+def _seeds(column: pa.ListArray):
+    """A function of a row number: fingerprints and the words around them in their first documents."""
+    rows, held = np.asarray(column.offsets), column.values
+    valid = np.asarray(held.is_valid())
+    h = held.field("h").filter(pa.array(valid)).to_numpy(zero_copy_only=False)
+    near = held.field("near").filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * _SIDE)
+    place = np.concatenate([[0], np.cumsum(valid)])
+    return lambda i: (h[place[rows[i]] : place[rows[i + 1]]], near[place[rows[i]] : place[rows[i + 1]]])
 
 
-def repeated(x: Lines, k: int, matches: dict[int, list[tuple[np.ndarray, np.ndarray]]], least: int = MIN_WORDS) -> list[tuple[int, int]]:
+def repeated(x: Words, k: int, seeds: tuple[np.ndarray, np.ndarray], least: int = MIN_WORDS) -> list[tuple[int, int]]:
     """Runs of words (begin, end) of text k that were matched or come a second time in it."""
-    s = x.of(k)
-    n = s.stop - s.start
-    line, gram, until, words = x.hash[s], x.gram[s].view(np.int64), x.end[s] - s.start, x.words[s]
-    cover = np.zeros(n + 1, np.int64)
-    seen: dict[int, int] = {}
-    for p in np.flatnonzero(x.picked[s]).tolist():
-        found = list(matches.get(int(gram[p]), ()))
-        if (q := seen.setdefault(int(gram[p]), p)) < p:
-            found.append((line[:q][::-1], line[int(until[q]) :]))
-        for before, after in found:
-            cover[p - _same(line[:p][::-1], before)] += 1
-            cover[int(until[p]) + _same(line[int(until[p]) :], after)] -= 1
-    on = np.cumsum(cover[:n]) > 0
+    words, at, fp = x.of(k)
+    if not len(at):
+        return []
+    order = np.argsort(fp, kind="stable")
+    low, high = (np.searchsorted(fp[order], seeds[0], side) for side in ("left", "right"))
+    n = high - low
+    seed = np.repeat(np.arange(len(n)), n)
+    here = at[order[np.arange(len(seed)) - np.repeat(np.cumsum(n) - n, n) + low[seed]]]
+    there = seeds[1][seed]
+    _, first, which = np.unique(fp, return_index=True, return_inverse=True)
+    again = np.flatnonzero(first[which] < np.arange(len(fp)))
+    if len(again):
+        here = np.concatenate([here, at[again]])
+        there = np.concatenate([there, around(words, at[first[which[again]]])])
+    odd = around(words, here) != there
+    reach = [np.where(side.any(axis=1), side.argmax(axis=1), _SIDE) for side in (odd[:, :_SIDE], odd[:, _SIDE:])]
+    cover = np.zeros(len(words) + 1, np.int64)
+    np.add.at(cover, here - np.minimum(reach[0], here), 1)
+    np.add.at(cover, here + GRAM + np.minimum(reach[1], len(words) - here - GRAM), -1)
+    on = np.cumsum(cover[:-1]) > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[0], on.view(np.int8), [0]])))
-    begin = np.append(x.begin[s], x.begin[s][-1] + words[-1] if n else 0)
-    return [(int(begin[a]), int(begin[b])) for a, b in edge.reshape(-1, 2) if begin[b] - begin[a] >= least]
+    return [(int(a), int(b)) for a, b in edge.reshape(-1, 2) if b - a >= least]
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> str:
@@ -193,18 +198,20 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs with text less its later repeated runs, and n_removed, the number of words deleted. Every
     row stays. docs has doc_id and text; other columns are kept as they are."""
     table = written(_fingerprints(docs))
-    each = table.select("o", F.explode(F.array_distinct("fp")).alias("h"))
+    each = table.select("o", F.explode("fp").alias("h"))
     firsts = each.groupBy("h").agg(F.min("o").alias("m"), F.max("o").alias("x")).where("x > m")
     wanted = firsts.groupBy("m").agg(F.collect_list("h").alias("want"))
-    sources = wanted.join(table, F.col("m") == F.col("o")).select("want", "lines", "fp", "at", "until", "m")
-    contexts = sources.mapInArrow(_contexts, "h long, before array<int>, after array<int>, m long")
+    names = [c for c in docs.columns if c != "n_removed"]
+    place = names.index("text")
+    # one exchange of the texts serves both joins, as both take all of its columns
+    keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__o"))
+    sources = keyed.join(wanted, F.col("__o") == F.col("m")).select(*names, "want", "__o")
+    contexts = sources.mapInArrow(_contexts(place), "h long, near array<int>, m long")
     # a join of two exchanges alone, so that a fingerprint of very many documents can be split
-    seeds = each.join(contexts, "h").where("o > m").select("o", F.struct("h", "before", "after").alias("s"))
+    seeds = each.join(contexts, "h").where("o > m").select("o", F.struct("h", "near").alias("s"))
     found = seeds.union(table.where("repeats").select("o", F.lit(None).cast(seeds.schema["s"].dataType).alias("s"))).groupBy("o").agg(F.collect_list("s").alias("__seeds"))
-    names = [c for c in docs.columns if c != "n_removed"]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_removed", T.LongType())])
-    joined = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__o")).join(found.withColumnRenamed("o", "__o"), "__o", "left").select(*names, "__seeds")
-    place = names.index("text")
+    joined = keyed.join(found.withColumnRenamed("o", "__o"), "__o", "left").select(*names, "__seeds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo()
@@ -213,18 +220,13 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
             some = np.flatnonzero(np.asarray(seeds.is_valid()) & np.asarray(col.is_valid()))
             found, removed = _seeds(seeds), np.zeros(batch.num_rows, np.int64)
             changed, new = np.zeros(batch.num_rows, bool), []
-            sizes = np.cumsum(np.asarray(pc.binary_length(col.take(pa.array(some, pa.int64())))))
-            at = 0
-            while at < len(some):
-                end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + SLICE_CHARS)))
-                texts = col.take(pa.array(some[at:end], pa.int64())).to_pylist()
-                x = Lines(texts, memo)
-                for k, i in enumerate(some[at:end].tolist()):
+            for rows, texts in _runs_of_rows(col, some):
+                x = Words(texts, memo)
+                for k, i in enumerate(rows):
                     if runs := repeated(x, k, found(i), least):
                         new.append(without(texts[k], runs))
                         changed[i] = True
                         removed[i] = sum(b - a for a, b in runs)
-                at = end
             text = pc.replace_with_mask(col, pa.array(changed), pa.array(new, pa.string())) if new else col
             yield pa.RecordBatch.from_arrays([*(batch.column(j) if j != place else text for j in range(len(names))), pa.array(removed)], names=schema.names)
 

@@ -199,6 +199,22 @@ def test_line_dedup_deletes_only_what_stands_before(spark, docs):
     assert removed > 0
 
 
+def test_every_run_of_over_fifty_words_is_deleted_to_the_word(spark):
+    """Passages of 51 words, the shortest that count, amid other words and without line ends."""
+    rng = random.Random(8)
+    plain = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.randrange(4000)}" for _ in range(n))
+    passages = [plain(51 + i % 10) for i in range(100)]
+    rows = [(i, f"{plain(rng.randint(0, 60))} {passages[i % 100]} {plain(rng.randint(0, 60))}") for i in range(200)]
+    # one passage twice in a document
+    rows.append((200, f"{(p := plain(51))} {plain(20)} {p} {plain(9)}"))
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        n = 0 if i < 100 else 51 if i == 200 else len(passages[i - 100].split())
+        assert got[i]["n_removed"] == n and len(got[i]["text"].split()) == len(text.split()) - n
+        if 100 <= i < 200:
+            assert got[i]["text"].split() == text.replace(passages[i - 100], "").split()
+
+
 # --- language, toxicity ------------------------------------------------------
 
 
