@@ -145,13 +145,16 @@ def filter_cost(costs: DataFrame, threshold: float = 0.3) -> DataFrame:
 
 
 def total_cost(costs: DataFrame, kinds: list[str] | None = None, complement: bool = True) -> DataFrame:
-    """query, seed, cost: the sum of 1 - score (or of scores) over the kinds."""
+    """query, seed, cost: the sum of 1 - score (or of scores) over the kinds. A kind that a pair lacks has
+    score 0, so it costs 1. Pairs without any row are left out; assign_cells' `missing` gives them 1 a kind."""
+    known = {r[0] for r in costs.select("kind").distinct().collect()}
     if kinds:
-        known = {r[0] for r in costs.select("kind").distinct().collect()}
         if lost := set(kinds) - known:
             raise ValueError(f"unknown cost {sorted(lost)}: {sorted(known)}")
         costs = costs.where(F.col("kind").isin(kinds))
-    return costs.groupBy("query", "seed").agg(F.sum(1 - F.col("score") if complement else F.col("score")).alias("cost"))
+        known = set(kinds)
+    total = F.sum(1 - F.col("score")) + (len(known) - F.count("kind")) if complement else F.sum("score")
+    return costs.groupBy("query", "seed").agg(total.alias("cost"))
 
 
 def batches(queries: DataFrame, seeds: DataFrame, size: int, epoch: int) -> tuple[DataFrame, DataFrame, int]:
@@ -171,11 +174,12 @@ def batches(queries: DataFrame, seeds: DataFrame, size: int, epoch: int) -> tupl
     return dealt(queries, "query", nq), dealt(seeds, "seed", ns), n
 
 
-def assign_cells(cost: DataFrame, batch_size: int = 1000, epochs: int = 1) -> DataFrame:
+def assign_cells(cost: DataFrame, batch_size: int = 1000, epochs: int = 1, missing: float | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """from, to, epoch, cost: for each query the seed of least cost over the epochs' batched linear
-    assignments (a smaller cost later replaces an earlier one). Missing pairs cost as much as the worst."""
+    assignments (a smaller cost later replaces an earlier one). Missing pairs cost `missing`, or else as much
+    as the worst. seeds: all that are on offer (seed), if some have no pair."""
     cost = cut(cost)
-    queries, seeds = cost.select("query").distinct(), cost.select("seed").distinct()
+    queries, seeds = cost.select("query").distinct(), (cost if seeds is None else seeds).select("seed").distinct()
     kind = cost.schema["query"].dataType.simpleString()
     other = cost.schema["seed"].dataType.simpleString()
 
@@ -184,8 +188,8 @@ def assign_cells(cost: DataFrame, batch_size: int = 1000, epochs: int = 1) -> Da
 
         from ..functions.numeric import assign
 
-        m = f.pivot_table(index="query", columns="seed", values="cost", aggfunc="min")
-        m = m.fillna(m.max().max())
+        m = f.pivot_table(index="query", columns="seed", values="cost", aggfunc="min", dropna=False)
+        m = m.fillna(m.max().max() if missing is None else missing)
         at = assign(m.to_numpy())
         rows = [(m.index[i], m.columns[j], m.iat[i, j]) for i, j in enumerate(at) if j >= 0]
         return pd.DataFrame(rows, columns=["from", "to", "cost"])
@@ -193,7 +197,7 @@ def assign_cells(cost: DataFrame, batch_size: int = 1000, epochs: int = 1) -> Da
     found = []
     for e in range(1, epochs + 1):
         q, s, _ = batches(queries, seeds, batch_size, e)
-        part = cost.join(q, "query").join(s, ["seed", "batch"])
+        part = q.join(s, "batch").join(cost, ["query", "seed"], "left").select("query", "seed", "batch", "cost") if missing is not None else cost.join(q, "query").join(s, ["seed", "batch"])
         found.append(part.groupBy("batch").applyInPandas(solve, f"from {kind}, to {other}, cost double").withColumn("epoch", F.lit(e)))
     return best_match(reduce(DataFrame.union, found))
 
@@ -262,7 +266,9 @@ def map_assays(seed_cells: DataFrame, seed_counts: DataFrame, query_cells: DataF
     if custom is not None:
         frames.append(custom.where(F.col("kind").isin([c for c in use_cost if c in known])).select("kind", "query", "seed", "score"))
     costs = cut(filter_cost(cut(reduce(DataFrame.union, frames)), threshold))
-    found = assign_cells(total_cost(costs), batch_size, epochs)
+    full = {"feature", "niche", "territory"} & set(use_cost)
+    rest = {} if full else {"missing": float(len(set(use_cost))), "seeds": seed_cells.select(F.col("barcode").alias("seed"))}
+    found = assign_cells(total_cost(costs), batch_size, epochs, **rest)
     if not allow_duplicates:
         found = dedupe(found)
     return score_matches(found, costs), costs

@@ -219,6 +219,41 @@ def test_no_warning_for_known_genes(spark):
         assert views.gene_expression(k, c, ["g"], norm=False).first()["value"] == 2.0
 
 
+@pytest.mark.parametrize("kinds", [("feature", "niche", "composition"), ("composition", "cell_type")])
+def test_map_assays_equals_dense_brute_force(spark, kinds):
+    import itertools
+    from collections import Counter
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n, names = 6, ["f", "g", "h", "i"]
+    side = {}
+    for s in "sq":
+        xy, v = rng.random((n, 2)) * 9, rng.integers(0, 9, (n, len(names))).astype(float)
+        kind = [("A", "B", "C")[i % 3] for i in range(n)]
+        cells = spark.createDataFrame([(f"{s}{i}", *map(float, xy[i]), kind[i]) for i in range(n)], "barcode string, x double, y double, cell_type string")
+        counts = spark.createDataFrame([(f, f"{s}{i}", float(v[i, j])) for i in range(n) for j, f in enumerate(names) if v[i, j]], "feature string, barcode string, value double")
+        near = np.argsort(((xy[:, None] - xy[None]) ** 2).sum(axis=2), axis=1)[:, :2]
+        side[s] = cells, counts, v, v[near].mean(axis=1), [Counter(kind[j] for j in r) for r in near], kind
+    (qc, qk, qv, qn, qm, qt), (sc, sk, sv, sn, sm, st) = side["q"], side["s"]
+    r = lambda a, b: np.corrcoef(a, b)[0, 1] * (len(names) - 1) / len(names)
+    score = {
+        "feature": lambda i, j: r(qv[i], sv[j]),
+        "niche": lambda i, j: r(qn[i], sn[j]),
+        "composition": lambda i, j: (qm[i] & sm[j]).total() / (qm[i] | sm[j]).total(),
+        "cell_type": lambda i, j: float(qt[i] == st[j]),
+    }
+    dense = {k: np.array([[score[k](i, j) for j in range(n)] for i in range(n)]) for k in kinds}
+    assert (dense["composition"] == 0).any() and all((d.max(axis=1) > 0).all() for d in dense.values())
+    cost = sum(1 - d for d in dense.values())
+    least = min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+    found = mapping.map_assays(sc, sk, qc, qk, kinds, k=2, threshold=0.0)[0].collect()
+    assert len(found) == n
+    assert all(m["cost"] == pytest.approx(cost[int(m["from"][1:]), int(m["to"][1:])], abs=1e-3) for m in found)
+    assert sum(m["cost"] for m in found) == pytest.approx(least, abs=1e-3)
+
+
 def test_mapped_assay(spark):
     g = grid(spark, 4, 1.0)
     counts = spark.createDataFrame([("f", f"barcode{i}", float(i)) for i in range(1, 17)], "feature string, barcode string, value double")
