@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import decontaminate, langid, linededup, simhash
+from mosaiq.llm import decontaminate, langid, likeness, linededup, simhash
 from mosaiq.llm.bpe import bpe_encode
 from mosaiq.llm.common import read, written
+from mosaiq.llm.components import components
 
 #: A document goes if less than this share of its letters has one language.
 LEAST_SHARE = 0.35
@@ -30,10 +31,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near fingerprints the row of the smallest doc_id stays; of equal rows, one."""
+    """Of each component of near fingerprints, and of texts that share four fifths of their five-word
+    shingles, the row of the smallest doc_id stays; of equal rows, one."""
     row = F.concat(F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("~")), F.lit(":"), F.hex(F.xxhash64("text")))
     named = docs.withColumn("__row", row)
-    kept = simhash.near_duplicates(named, by="__row").where(F.col("__row") == F.col("component_id")).select("__row")
+    near = written(simhash.near_duplicates(named, by="__row").select("__row", F.xxhash64("component_id").alias("c")))
+    alike = written(likeness.sets(named, "__row"))
+    root = components(likeness.links(alike))
+    group = alike.select("__by", "s").distinct().join(root, F.col("s") == F.col("node"), "left").select(F.col("__by").alias("__row"), F.coalesce("root", "s").alias("g"))
+    # components of both kinds of links at once: a fingerprint's component and a group of alike texts share rows
+    both = near.join(group, "__row", "left").select("__row", "c", F.xxhash64(F.lit("alike"), "g").alias("g"), F.col("g").isNull().alias("alone"))
+    whole = components(both.where("not alone").select(F.col("c").alias("a"), F.col("g").alias("b")).distinct())
+    least = both.join(whole, F.col("c") == F.col("node"), "left").select("__row", F.coalesce("root", "c").alias("root"))
+    kept = least.groupBy("root").agg(F.min("__row").alias("__row")).select("__row")
     return named.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 

@@ -128,6 +128,28 @@ def test_pipeline_stages(spark):
     assert out.count() == kept[-1] and out.agg(F.min("n_tokens")).first()[0] > 0
 
 
+def test_pipeline_drops_texts_that_share_four_fifths_of_their_shingles(spark):
+    import random
+
+    import corpus_pipeline as p
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rng = random.Random(6)
+    rows, alike = [], []
+    for i in range(60):
+        words = [f"{rng.choice('bcdfg')}{rng.randrange(4000)}" for _ in range(rng.randint(60, 200))]
+        edited = list(words)
+        for _ in range(1 + i % 8):
+            edited[rng.randrange(len(words))] = "edited"
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, edited))
+        alike.append(len(a & b) / len(a | b))
+        rows += [(i, " ".join(words), "en", "s", 1), (1000 + i, " ".join(edited), "en", "s", 1)]
+    kept = {r["doc_id"] for r in p.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), SF).collect()}
+    assert kept >= set(range(60)) and sum(x >= 0.8 for x in alike) > 10
+    assert not [i for i in range(60) if alike[i] >= 0.8 and 1000 + i in kept]
+    assert all(1000 + i in kept for i in range(60) if alike[i] < 0.5)
+
+
 def test_pipeline_with_odd_rows(spark):
     import corpus_pipeline as p
 
