@@ -2,11 +2,12 @@
 
 Tokens are tags (with class and id) and whole text nodes. Tokens of a host with the same occurrence
 vector (how often each comes in each of the host's pages) form an equivalence class. A class is valid
-if it has two tokens or more and covers half of the host's pages; valid classes nest, by the mean
-places of their tokens, into the host's template. A page's slots are what stands between the
+if it has two tokens or more and covers half of the host's pages; the tokens of all valid classes are
+the host's template (they are not nested). A page's slots are what stands between the
 template's tokens. Slots of links, and those inside navigation, headers, footers, sidebars, forms, adverts, notices and
 comments go, as do text nodes of the class that every page has; the other slots are the text. Where
-the template or the page has an article or main element, only its slots are taken, whole.
+the page has an article or main element (or one of such a class), all of its text outside boilerplate
+elements is taken, and the template has no say: there, element names and class words alone decide.
 
 Occurrence vectors are never gathered: tasks add up hashes of (page, count) for each host and token, so
 a host of a third of all pages is a few sums for each token. A template is as large as twice a page.
