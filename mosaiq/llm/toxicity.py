@@ -27,8 +27,8 @@ from .common import slices
 
 #: Labelled documents that a model learns from at most, those of the smallest hashed ids.
 FIT_DOCUMENTS = 6000
-#: Terms with a weight and those with factors too, at most: those that tell the classes apart best.
-_TERMS, _PAIRED, _FACTORS = 4096, 1024, 8
+#: Terms at most, all with a weight and factors: those that tell the classes apart best by themselves.
+_TERMS, _FACTORS = 4096, 8
 _words = re.compile(r"[^\W\d_]+")
 
 
@@ -105,16 +105,14 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 15, batch: i
     hit = np.bincount(np.concatenate(kept), np.repeat(y, [len(k) for k in kept]), len(vocabulary))
     gain = np.abs(hit - df * share) / np.sqrt(df * share * (1 - share) + 1.0)
     best = np.sort(np.argsort(-gain, kind="stable")[:_TERMS])
-    vocabulary, gain, moved = vocabulary[best], gain[best], np.full(len(gain) + 1, -1)
+    vocabulary, moved = vocabulary[best], np.full(len(gain) + 1, -1)
     moved[best] = np.arange(len(best))
     kept = [m[m >= 0] for m in (moved[k] for k in kept)]
     size = len(vocabulary)
-    top = np.argsort(-gain, kind="stable")[:_PAIRED]
-    paired = np.full(size, -1, np.int64)
-    paired[top] = np.arange(len(top))
+    paired = np.arange(size)
     weight = np.where(y == 1, min(3.0, (1 - share) / share), 1.0)
     rng = np.random.default_rng(seed)
-    w, b, v = np.zeros(size), float(np.log(share / (1 - share))), rng.normal(0, 0.01, (len(top), _FACTORS))
+    w, b, v = np.zeros(size), float(np.log(share / (1 - share))), rng.normal(0, 0.01, (size, _FACTORS))
     gw, gv, gb = np.full(size, 1e-2), np.full(v.shape, 1e-2), 1e-2
     rows = [p[p >= 0] for p in (paired[k] for k in kept)]
     for _ in range(epochs):

@@ -275,6 +275,21 @@ def test_machine_learns_a_pair_that_weights_miss():
     assert 0 <= none <= 1
 
 
+def test_machine_learns_a_pair_of_terms_that_are_neutral_alone():
+    """The pair's terms rank last among some 1,500 by what each tells by itself."""
+    rng = random.Random(2)
+    noise = [f"{a}{b}{c}" for a in "bcdfghklmnpr" for b in "aeiouyzvwxq" for c in "bcdfghklmnpr"][:1500]
+    docs, y = [], []
+    for i in range(4000):
+        a, b = i % 2, i // 2 % 2
+        docs.append(" ".join(["one"] * a + ["two"] * b + rng.sample(noise, 4)))
+        y.append(a != b)
+    m = toxicity.train(toxicity.Features()(docs), np.array(y), epochs=60)
+    both, one, two = m.score(toxicity.Features(m.vocabulary)(["one two", "one", "two"]))
+    assert len(m.vocabulary) > 1200
+    assert both < 0.4 < 0.6 < min(one, two)
+
+
 def test_toxicity_without_labels(spark, odd):
     m = toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"), ~held_out())
     got = toxicity.score(odd, m, ["doc_id", "score"]).collect()
