@@ -174,10 +174,9 @@ def batches(queries: DataFrame, seeds: DataFrame, size: int, epoch: int) -> tupl
     return dealt(queries, "query", nq), dealt(seeds, "seed", ns), n
 
 
-def assign_cells(cost: DataFrame, batch_size: int = 1000, epochs: int = 1, missing: float | None = None, seeds: DataFrame | None = None) -> DataFrame:
-    """from, to, epoch, cost: for each query the seed of least cost over the epochs' batched linear
-    assignments (a smaller cost later replaces an earlier one). Missing pairs cost `missing`, or else as much
-    as the worst. seeds: all that are on offer (seed), if some have no pair."""
+def epoch_matches(cost: DataFrame, batch_size: int = 1000, epochs: int = 1, missing: float | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """from, to, cost, epoch: each epoch's batched linear assignments. Missing pairs cost `missing`, or else
+    as much as the worst. seeds: all that are on offer (seed), if some have no pair."""
     cost = cut(cost)
     queries, seeds = cost.select("query").distinct(), (cost if seeds is None else seeds).select("seed").distinct()
     kind = cost.schema["query"].dataType.simpleString()
@@ -199,7 +198,13 @@ def assign_cells(cost: DataFrame, batch_size: int = 1000, epochs: int = 1, missi
         q, s, _ = batches(queries, seeds, batch_size, e)
         part = q.join(s, "batch").join(cost, ["query", "seed"], "left").select("query", "seed", "batch", "cost") if missing is not None else cost.join(q, "query").join(s, ["seed", "batch"])
         found.append(part.groupBy("batch").applyInPandas(solve, f"from {kind}, to {other}, cost double").withColumn("epoch", F.lit(e)))
-    return best_match(reduce(DataFrame.union, found))
+    return reduce(DataFrame.union, found)
+
+
+def assign_cells(cost: DataFrame, batch_size: int = 1000, epochs: int = 1, missing: float | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """from, to, epoch, cost: for each query the seed of least cost over the epochs of epoch_matches (a
+    smaller cost later replaces an earlier one)."""
+    return best_match(epoch_matches(cost, batch_size, epochs, missing, seeds))
 
 
 def cost_by_epoch(matches_of_epochs: DataFrame) -> DataFrame:

@@ -254,6 +254,29 @@ def test_map_assays_equals_dense_brute_force(spark, kinds):
     assert sum(m["cost"] for m in found) == pytest.approx(least, abs=1e-3)
 
 
+def test_cost_by_epoch_of_assigned_epochs(spark):
+    """Epochs of assign_cells over all seeds, against plain Python."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    score = rng.random((8, 8)).round(3)
+    cost = spark.createDataFrame([(f"q{i}", f"s{j}", float(score[i, j])) for i in range(8) for j in range(8)], "query string, seed string, cost double")
+    matches = mapping.epoch_matches(cost, 4, 4).cache()
+    rows = matches.collect()
+    assert all(m["cost"] == score[int(m["from"][1:]), int(m["to"][1:])] for m in rows)
+    assert {m["to"] for m in rows} == {f"s{j}" for j in range(8)}
+    best, want = {}, {}
+    for e in range(1, 5):
+        now = [m for m in rows if m["epoch"] == e]
+        assert {m["from"] for m in now} == {f"q{i}" for i in range(8)}
+        for m in now:
+            best[m["from"]] = min(m["cost"], best.get(m["from"], 9.0))
+        want[e] = sum(best.values()) / 8
+    got = {r["epoch"]: r["cost"] for r in mapping.cost_by_epoch(matches).collect()}
+    assert got == pytest.approx(want) and want[4] < want[1]
+    assert {r["from"]: r["cost"] for r in mapping.assign_cells(cost, 4, 4).collect()} == best
+
+
 def test_mapped_assay(spark):
     g = grid(spark, 4, 1.0)
     counts = spark.createDataFrame([("f", f"barcode{i}", float(i)) for i in range(1, 17)], "feature string, barcode string, value double")
