@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -304,33 +305,132 @@ def test_held_out_is_crc32(spark):
 # --- html --------------------------------------------------------------------
 
 
-def test_main_text_of_pages(spark):
+def article(page):
     import html as h
 
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    return " ".join(h.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", body))).split())
+
+
+def test_main_text_of_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op5_template_slots(spark, SF).collect():
-        body = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
-        want = " ".join(h.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", body))).split())
+        want = article(pages[r["page_id"]])
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
-def test_template_drops_what_all_pages_have(spark):
-    page = "<html><body><div class='x1'>Acme shop, best of the best</div><div class='x2'><p>{}</p><p>{}</p></div><div class='x3'>All rights are ours</div></body></html>"
-    rows = [(i, f"http://a.example/{i}", page.format(f"Story {i} begins", f"and ends {i * 7}")) for i in range(8)]
+def test_the_template_decides_without_names(spark):
+    """Pages of sf0.01 whose elements say nothing: the template alone finds the article. A page's text by
+    an empty template is all that it shows."""
+    neutral = [("<nav>", "<div class=q1>"), ("</nav>", "</div>"), ('class="ad"', "class=q2"), ("<article>", "<div class=q3>"), ("</article>", "</div>"), ("<footer>", "<div class=q4>"), ("</footer>", "</div>")]
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    held = {r["page_id"]: (r["url"], r["html"]) for r in pages.collect()}
+    rows = []
+    for i, (url, page) in held.items():
+        for old, new in neutral:
+            page = page.replace(old, new)
+        rows.append((i, url, page))
+    df = spark.createDataFrame(rows, pages.select("page_id", "url", "html").schema)
+    size = Counter(htmltext.host(u) for u, _ in held.values())
+    right = total = 0
+    for r in htmltext.extract(df, ["page_id", "url"]).collect():
+        if size[htmltext.host(r["url"])] >= 3:
+            total += 1
+            right += r["text"] == article(held[r["page_id"]][1])
+    assert total > 200 and right == total
+    assert all(htmltext.main_text(p, htmltext.Template()) != article(p) for _, p in held.values())
+
+
+def test_classes_equal_those_of_explicit_vectors(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    by: dict = {}
+    for r in rows:
+        by.setdefault(htmltext._key(htmltext.host(r["url"])), []).append(r["html"])
+    found = {r["host"]: r for r in htmltext.templates(spark.createDataFrame(rows)).collect()}
+    several = 0
+    for h, pages in by.items():
+        if len(pages) < 3:
+            assert h not in found or found[h]["n"] < 3 or not htmltext.candidates(htmltext._rows(found[h]["rows"]), found[h]["n"]).at
+            continue
+        counts = [Counter(t.key for t in htmltext.tokens(p) if t.key and t.kind) for p in pages]
+        vectors: dict = {}
+        for k in set().union(*counts):
+            v = tuple(c[k] for c in counts)
+            if 2 * sum(x > 0 for x in v) >= len(pages) and sum(x > 0 for x in v) > 2:
+                vectors.setdefault(v, set()).add(k)
+        want = {frozenset(v) for v in vectors.values() if len(v) > 1}
+        classes = htmltext.candidates(htmltext._rows(found[h]["rows"]), found[h]["n"])
+        got: dict = {}
+        for k, (name, _) in classes.at.items():
+            got.setdefault(name, set()).add(k)
+        assert {frozenset(v) for v in got.values()} == want
+        several += len(want) > 1
+    assert several > 10
+
+
+def test_classes_are_validated_and_nested():
+    """A tag out of turn leaves its class; what lies in different gaps is not nested."""
+    page = "<body><div class=a><h1>{0}</h1></div><div class=b>{1}</div><div class=c>{2}</div></body>"
+    swap = "<body><div class=a><h1>{0}</h1></div><div class=c>{2}</div><div class=b>{1}</div></body>"
+    item = "<p>{} and more words of it</p>"
+    pages = [(swap if i == 3 else page).format(f"t{i}", item.format(f"x{i}") * (i % 3 + 1), f"y{i}") for i in range(6)]
+    agg: dict = {}
+    import pyarrow as pa
+
+    for r in next(htmltext._counted(iter([pa.RecordBatch.from_pydict({"url": ["h"] * 6, "html": pages})]))).to_pylist():
+        agg[r["token"]] = r
+    rows = [htmltext.Row(k, r["pages"], r["a"], r["b"], r["times"], r["place"] / r["pages"], r["chars"], r["linked"], r["owner"], r["state"]) for k, r in agg.items() if k and r["pages"] > 2]
+    classes, checks = htmltext.candidates(rows, 6), {}
+    for p in pages:
+        for t, wrong, around in htmltext.check(htmltext.tokens(p), classes):
+            got = checks.setdefault(t, [0, around, around])
+            checks[t] = [got[0] + wrong, min(got[1], around), max(got[2], around)]
+    template = htmltext.deduce(rows, 6, checks)
+    names = {t.key: i for p in pages[:1] for i, t in enumerate(htmltext.tokens(p)) if t.kind}
+    assert 0 < len(template.at) < len(classes.at)
+    first = {n: min(names[t] for t, (m, _) in template.at.items() if m == n) for n in template.parent}
+    outer = min(first, key=first.get)
+    assert template.parent[outer] == 0 and all(template.parent[n] != 0 for n in first if n != outer)
+    assert htmltext.main_text(pages[0], template) is not None
+
+
+def test_slots_of_an_unnamed_page_set(spark):
+    """No article, main or telling class: constant boxes, link lists, a form, comments and a heading."""
+    page = (
+        "<html><body><div class='x1'>Acme shop, best of the best</div><div class='x5'><a href=/{0}>next {0}</a> <a href=/p{0}>prior {0}</a></div>"
+        "<div class='x2'><h1>Title {0} of note</h1><div class='x4'><p>{1}</p><p>{2} &amp; so on</p><p>Read more below</p>"
+        "<section class='comments'><p>I disagree {0}</p></section><form><p>Your mail {0}</p></form></div></div>"
+        "<div class='x6'>Visited {0} times today</div><div class='x3'>All rights are ours</div></body></html>"
+    )
+    rows = [(i, f"http://a.example/{i}", page.format(i, f"Story {i} begins with many words here", f"and ends {i * 7}")) for i in range(8)]
     rows += [(20, None, None), (21, "", ""), (22, "http://b.example", "<p>a &amp; b<br>c</p><!-- x"), (22, "http://b.example", "<p>a &amp; b<br>c</p><!-- x")]
+    # copies of one page alone: what all have is the text
+    rows += [(30 + i, "http://c.example/x", "<body><div><a href=/>home</a></div><div><p>The same words on all of these pages</p></div></body>") for i in range(4)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = [(r["page_id"], r["text"]) for r in htmltext.extract(df, ["page_id", "url"]).collect()]
     assert len(got) == len(rows)
     for i in range(8):
-        assert (i, f"Story {i} begins and ends {i * 7}") in got
+        assert (i, f"Title {i} of note Story {i} begins with many words here and ends {i * 7} & so on") in got
     assert (20, "") in got and (21, "") in got and got.count((22, "a & b c")) == 2
+    assert all((30 + i, "The same words on all of these pages") in got for i in range(4))
+    assert htmltext.extract(df.limit(0), ["page_id"]).count() == 0
+    wide = htmltext.extract(df.withColumn("text", F.lit("no")).withColumn("n_chars", F.lit(1)).withColumn("host", F.lit(2)).withColumn("rows", F.lit(3)), ["page_id", "host", "rows", "text"])
+    assert wide.columns == ["page_id", "host", "rows", "text", "n_chars"] and wide.where("host = 2 and rows = 3 and text <> 'no'").count() > 10
+
+
+def test_deep_and_broken_markup():
+    assert htmltext.lone_text("<div>" * 3000 + "deep" + "<script>x") == "deep"
+    assert htmltext.lone_text("<p>a<p>b</div><li>c<!-- d") == "a b c"
+    assert htmltext.text_of("<p>1 < 2</p>", None) == "1 < 2"
 
 
 def test_templates_by_join_give_the_same(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     want = sorted(map(tuple, htmltext.extract(df, ["page_id"]).collect()))
     monkeypatch.setattr(htmltext, "BROADCAST_BYTES", -1)
-    assert sorted(map(tuple, htmltext.extract(df, ["page_id"]).collect())) == want
+    wide = df.withColumn("host", F.lit("h")).withColumn("rows", F.lit("r")).withColumn("n", F.lit("n"))
+    got = htmltext.extract(wide, ["page_id", "host", "rows", "n"]).collect()
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == want and {(r["host"], r["rows"], r["n"]) for r in got} == {("h", "r", "n")}
 
 
 # --- decontamination -----------------------------------------------------------
