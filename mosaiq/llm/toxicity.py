@@ -1,13 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's features are its distinct words and their first four and five letters, hashed. The score is
-the logistic of a bias, a weight for each term and the scalar products of the factors of each pair of
-terms, so a pair (an insult with a mention of a group) can count where neither term does alone.
-Factors belong to the terms that tell the classes apart best; other terms have a weight only.
+A text's features are its distinct words, the beginnings of words that one, two or four different words
+of the text have, and the size of the text in powers of two, all hashed. The score is the logistic of a
+bias, a weight for each term and the scalar products of the factors of each pair of terms, so a pair (an
+insult with a mention of a group, a beginning that is frequent in a text of that size) can count where
+neither term does alone. Terms that tell the classes apart best by themselves are kept, each with factors.
 
 Null and empty texts have no features: their score is the learned share of the class. Equal texts
 have equal scores. Rows without label aren't learned from; where no rows or one class are left, the
-model knows the bias alone.
+model knows the bias alone. Of repeated ids the largest label counts, and the text of the smallest hash.
 """
 
 from __future__ import annotations
@@ -32,12 +33,18 @@ _TERMS, _FACTORS = 4096, 8
 _words = re.compile(r"[^\W\d_]+")
 
 
-def terms(word: str) -> tuple[int, int, int]:
-    """A word's hashed features (a word of under five letters repeats them)."""
-    whole = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-    if len(word) < 5:
-        return whole, whole, whole
-    return whole, zlib.crc32(b"4" + word[:4].encode("utf-8", "surrogatepass")), zlib.crc32(b"5" + word[:5].encode("utf-8", "surrogatepass"))
+def _term(word: str, kind: str = "") -> int:
+    return zlib.crc32(f"{kind}{word}".encode("utf-8", "surrogatepass"))
+
+
+def terms(word: str) -> list[int]:
+    """A word's hashed features: the word; for its first four and its first five letters, that one, two
+    and four different words of the text begin so (a word of under five letters has none of these)."""
+    return [_term(word), *(_term(word[:n], f"{n}.{times} ") if len(word) >= 5 else -1 for n in (4, 5) for times in TIMES)]
+
+
+#: How many different words of a text have a beginning, for a feature of its own.
+TIMES = (1, 2, 4)
 
 
 class Features:
@@ -47,24 +54,42 @@ class Features:
     def __init__(self, vocabulary: np.ndarray | None = None, limit: int = 250_000):
         self.vocabulary, self.limit = vocabulary, limit
         self.at: dict[str, int] = {}
-        self.table = np.zeros((0, 3), np.int64)
+        self.begins: dict[str, int] = {}
+        self.table = np.zeros((0, 9), np.int64)
+        self.sizes = self._place(np.array([_term(str(i), "size ") for i in range(64)], np.int64))
 
-    def _of(self, words: list[str]) -> np.ndarray:
-        h = np.array([terms(w) for w in words], np.int64)
+    def _place(self, h: np.ndarray) -> np.ndarray:
         if self.vocabulary is None:
             return h
         at = np.searchsorted(self.vocabulary, h)
         return np.where(np.append(self.vocabulary, -1)[at] == h, at, -1)
 
+    def _of(self, words: list[str]) -> np.ndarray:
+        """Features of words, then numbers of their beginnings of four and five letters, by which they
+        are counted; words of under five letters have the number 0."""
+        numbers = [[self.begins.setdefault(w[:n], len(self.begins) + 1) if len(w) >= 5 else 0 for n in (4, 5)] for w in words]
+        return np.hstack([self._place(np.array([terms(w) for w in words], np.int64)), np.array(numbers, np.int64)])
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.at) > self.limit:
-            self.at, self.table = {}, self.table[:0]
-        found = [set(_words.findall((t or "").lower())) for t in texts]
+            self.at, self.begins, self.table = {}, {}, self.table[:0]
+        split = [_words.findall((t or "").lower()) for t in texts]
+        found = [set(w) for w in split]
         if new := list(set().union(*found).difference(self.at)):
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
             self.table = np.concatenate([self.table, self._of(new)])
-        out = [np.unique(self.table[np.fromiter(map(self.at.__getitem__, w), np.int64, len(w))]) for w in found]
-        return [x[1:] if len(x) and x[0] < 0 else x for x in out]
+        out = []
+        for every, w in zip(split, found, strict=True):
+            rows = self.table[np.fromiter(map(self.at.__getitem__, w), np.int64, len(w))]
+            own = [rows[:, 0]]
+            for k in (0, 1):
+                _, first, n = np.unique(rows[:, 7 + k], return_index=True, return_counts=True)
+                own += [rows[first[n >= times], 1 + 3 * k + j] for j, times in enumerate(TIMES)]
+            if every:
+                own.append(self.sizes[[len(every).bit_length()]])
+            x = np.unique(np.concatenate(own))
+            out.append(x[1:] if len(x) and x[0] < 0 else x)
+        return out
 
 
 @dataclass
@@ -89,7 +114,7 @@ class FactorizationMachine:
         return out
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 15, batch: int = 128, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 0.5, decay: float = 1e-3, seed: int = 7) -> FactorizationMachine:
     """Adagrad on the logistic loss, over terms of three documents or more. The rarer class counts for
     up to three times as much, as a missed toxic text costs more than a doubtful one."""
     y = labels.astype(float)
@@ -146,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, text: str = "text", l
     is smallest. The sample of labels is bounded by `limit`, so it is broadcast to the join."""
     rows = labels.where(F.col(label).isNotNull() & F.col(by).isNotNull()).groupBy(by).agg(F.max(label).alias("label"))
     sample = rows.withColumn("h", F.xxhash64(by)).where(where).orderBy("h", by).limit(limit)
-    found = docs.select(by, F.col(text).alias("text")).join(F.broadcast(sample), by).where(F.col("text").isNotNull()).dropDuplicates([by]).select("text", "label").limit(limit).collect()
+    found = docs.select(by, F.col(text).alias("text")).join(F.broadcast(sample), by).where(F.col("text").isNotNull()).groupBy(by).agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label")).orderBy(F.xxhash64(by), by).select("text", "label").collect()
     make = Features()
     kept: list[np.ndarray] = []
     for i in range(0, len(found), 500):

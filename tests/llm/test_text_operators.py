@@ -258,8 +258,35 @@ def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op6_factorization_machine(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     toxic, clean = [r for r in got if r["toxic"] == 1], [r for r in got if r["toxic"] == 0]
-    assert sum(r["predicted"] for r in toxic) / len(toxic) > 0.85
-    assert sum(r["predicted"] for r in clean) / len(clean) < 0.02
+    assert sum(r["predicted"] for r in toxic) / len(toxic) > 0.9
+    assert sum(r["predicted"] for r in clean) / len(clean) < 0.01
+
+
+def test_factors_decide_on_held_out_rows(spark):
+    """Without its factors the machine misses more toxic texts and ranks worse; its score is that of a
+    double loop over all pairs of terms."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit(docs, labels, ~held_out())
+    rows = docs.join(labels, "doc_id").where(held_out()).where("toxic is not null").select("text", "toxic").collect()
+    x = toxicity.Features(m.vocabulary)([r["text"] for r in rows])
+    y = np.array([r["toxic"] == 1 for r in rows])
+    s = np.array(m.score(x))
+    plain = toxicity.FactorizationMachine(m.bias, m.vocabulary, m.weights, m.paired, np.zeros_like(m.factors))
+    s0 = np.array(plain.score(x))
+
+    def auc(s):
+        return np.mean([(s[y][:, None] > s[~y][None, :]) + 0.5 * (s[y][:, None] == s[~y][None, :])])
+
+    assert ((s >= 0.3) != (s0 >= 0.3)).sum() > 20
+    assert ((s >= 0.3) & y).sum() > ((s0 >= 0.3) & y).sum() + 20
+    assert auc(s) > auc(s0) + 0.01 and ((s >= 0.3) & y).sum() > 104 / 120 * y.sum()
+    for i in range(0, len(x), 200):
+        z = m.bias + sum(m.weights[a] for a in x[i])
+        for j, a in enumerate(x[i]):
+            for b in x[i][j + 1 :]:
+                z += sum(p * q for p, q in zip(m.factors[a], m.factors[b], strict=True))
+        assert 1 / (1 + np.exp(-min(30, max(-30, z)))) == pytest.approx(s[i], abs=1e-6)
 
 
 def test_machine_learns_a_pair_that_weights_miss():
