@@ -62,7 +62,7 @@ class Features:
         if self.vocabulary is None:
             return h
         at = np.searchsorted(self.vocabulary, h)
-        return np.where(np.append(self.vocabulary, -1)[at] == h, at, -1)
+        return np.where(np.append(self.vocabulary, -2)[at] == h, at, -1)
 
     def _of(self, words: list[str]) -> np.ndarray:
         """Features of words, then numbers of their beginnings of four and five letters, by which they
