@@ -4,7 +4,6 @@ batches, memoised word hashes and intermediate tables in the cluster's shared fo
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -117,5 +116,8 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def tokenizers_dir() -> str:
-    return os.environ.get("MOSAIQ_TOKENIZERS", "/opt/tokenizers")
+def tokenizer_path(name: str) -> str:
+    """The file of a public vocabulary, as the package of vocabularies names it on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

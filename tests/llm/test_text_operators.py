@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm import decontaminate, htmltext, langid, linededup, queries, simhash, sketch, toxicity
 from mosaiq.llm.bpe import ChunkEncoder, bpe_encode, cuts
-from mosaiq.llm.common import Memo, held_out, tokenizers_dir
+from mosaiq.llm.common import Memo, held_out, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 ODD = [(None, None, 1), (1, "", 2), (1, "", 2), (2, " \n\t", 3), (3, "word " * 30_000, 4), (4, "x", 5), (None, "x", 6)]
@@ -39,7 +39,7 @@ def odd(spark):
 
 @pytest.fixture(scope="module")
 def coder():
-    return ChunkEncoder(f"{tokenizers_dir()}/word_bpe_49k.json", bits=3)
+    return ChunkEncoder(tokenizer_path("word_bpe_49k.json"), bits=3)
 
 
 PIECES = st.sampled_from([*"aAbB éÉßçñ'sItT 09²½.,!?%&<|>\n\t\r\x0b\x85\xa0日本İıΣσςȩ́ﬁ한글🙂\x1c", "<|endoftext|>", " <|startoftext|>", "'ll", "the "])
@@ -64,7 +64,7 @@ def test_cuts_depend_on_what_is_before_them_only():
 def test_bpe_query_digests(spark, docs):
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(f"{tokenizers_dir()}/word_bpe_49k.json")
+    lib = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in queries.op7_bpe_chunk_reuse(spark, SF).collect():
         ids = lib.encode(text[r["doc_id"]], add_special_tokens=False).ids
@@ -73,6 +73,46 @@ def test_bpe_query_digests(spark, docs):
         assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_chunks_are_reused_and_joins_repaired():
+    """Passages of 300 characters in other surroundings are encoded once; a piece with wrong ids is
+    found by its window and put right."""
+    path = tokenizer_path("word_bpe_49k.json")
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    passages = [" ".join(word() for _ in range(300)) for _ in range(6)]
+    texts = [" ".join([*(word() for _ in range(20)), passages[i % 6], *(word() for _ in range(20))]) for i in range(60)]
+    coder = ChunkEncoder(path)
+    want = [np.array(x.ids, "<u4").tobytes() for x in coder.lib.encode_batch(texts, add_special_tokens=False)]
+    assert coder.encode(texts) == want
+    assert 100 < coder.seen[1] / coder.seen[0] < 200
+    assert coder.reused[1] / coder.seen[1] > 0.6
+    joins: list = []
+    unequal = coder._unequal
+    coder._unequal = lambda checks: joins.extend(checks) or unequal(checks)
+    coder.encode(texts)
+    near = Counter(p for x in joins for p in (x[2], x[4]))
+    words = Counter(w for t in texts for w in set(t.split(" ")))
+    wrong = {x[3]: b"\x01\x00\x00\x00" for x in joins if x[3] not in near and words[x[3]] <= 10 and len(x[3]) > 6}
+    assert len(wrong) > 10
+    coder.pieces.update(wrong)
+    assert coder.encode(texts) == want
+
+
+def test_other_vocabularies_are_refused():
+    import os
+
+    names = [n for n in os.listdir(os.path.dirname(tokenizer_path("word_bpe_49k.json"))) if n.endswith(".json") and n != "word_bpe_49k.json"]
+    refused = 0
+    for n in names:
+        try:
+            ChunkEncoder(tokenizer_path(n))
+        except ValueError as e:
+            refused += "can't be joined" in str(e)
+        except Exception:  # noqa: BLE001  not a file of this library
+            pass
+    assert refused > 0
+
+
 def test_bpe_odd_rows(odd):
     got = bpe_encode(odd, ["doc_id", "score"]).orderBy("score").collect()
     assert [r["n_tokens"] for r in got] == [0, 0, 0, 0, 30_000, 1, 1]
