@@ -181,7 +181,7 @@ class ChunkEncoder:
         """Ids of a text with joins at places where the pieces' ids don't hold."""
         flat = _flat(text)
         pieces = flat.split(" ")
-        ids = [self.pieces[p] for p in pieces]
+        ids = [self._piece(p) for p in pieces]
         for place in places:
             j, reach = flat.count(" ", 0, place), 1
             while True:
