@@ -534,13 +534,48 @@ def test_decontamination_query_equals_brute_force(spark, docs):
         assert decontaminate.edit_match(np.array(h, np.uint64), np.array(run, np.uint64))[0] == r["distance"] <= len(h) // 5
 
 
+def test_decontamination_equals_edit_distance_of_all_pairs(spark):
+    """All documents of sf0.001 with all items, by the edit distance of each pair; some documents get
+    edited items on top."""
+    rng = random.Random(9)
+    sf = "/root/testdata/sf0.001"
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = [(r["item_id"], r["text"]) for r in items.collect()] + [(900, "an answer"), (901, "forty-two")]
+    for i, (_, t) in enumerate(held):
+        w = t.split()
+        for _ in range(len(w) // 8):
+            w[rng.randrange(len(w))] = "edited"
+        texts[10_000 + i] = " ".join(["some", "words", "before", *w, "and", "after"])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.contaminated(df, spark.createDataFrame(held, "item_id long, text string"), ["doc_id"]).collect()}
+    hashes = lambda t: np.array([decontaminate.word_hash(w) for w in t.split()], np.uint64)
+    want, docs = {}, {d: hashes(t) for d, t in texts.items()}
+    for i, t in held:
+        h = hashes(t)
+        for d, words in docs.items():
+            distance = decontaminate.edit_match(h, words)[0]
+            if distance <= int(0.2 * len(h)):
+                want[d, i] = distance
+    assert len(want) > len(held) and set(got) <= set(want)
+    assert len(got) >= 0.97 * len(want)
+    assert sum(got[k] == want[k] for k in got) >= 0.97 * len(got)
+    assert {k for k in want if k[1] >= 900} <= set(got)
+
+
 def test_decontamination_odd_rows_and_blocks(spark, odd, monkeypatch):
-    bench = spark.createDataFrame([(1, None), (2, ""), (3, "too few words"), (None, "a b c d e f"), (5, "word word word word word word"), (6, "u v w x y z q")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "too few words"), (None, "a b c d e f"), (5, "word word word word word word"), (5, "word word word word word word"), (6, "u v w x y z q"), (None, "x")], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "ITEMS", 1)
     got = decontaminate.contaminated(odd, bench, ["doc_id", "score"]).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == {(3, 5)}
+    assert sorted((r["score"], r["item_id"]) for r in got if r["item_id"] is not None) == [(4, 5)]
+    assert {r["score"] for r in got if r["item_id"] is None} == {5, 6}
+    # documents with an item of one word stay, unless asked for
     assert decontaminate.clean(odd, bench).count() == len(ODD) - 1
+    assert decontaminate.clean(odd, bench, least=1).count() == len(ODD) - 3
     assert decontaminate.contaminated(odd, bench.limit(0), ["doc_id"]).count() == 0
+    assert decontaminate.contaminated(odd.limit(0), bench, ["doc_id"]).count() == 0
+    named = bench.withColumn("item_id", F.concat(F.lit("q"), "item_id"))
+    assert {r["item_id"] for r in decontaminate.contaminated(odd, named, ["doc_id"]).collect()} == {"q5", None}
 
 
 # --- sketches ------------------------------------------------------------------
