@@ -4,8 +4,12 @@ Script ranges narrow each word's candidate languages; per-word scores come from
 the word; Viterbi with a penalty for each switch labels the words of a text. The document's language
 is that of most letters. Neighbouring words of one label form a span.
 
-Null text, an empty one and one without letters: `und`, score 0, no spans. Digits and marks belong to
-no word. A text whose scripts no learned language uses gets the language learned from most text.
+Null text, an empty one and one without letters: `und`, score 0, no spans. Digits, marks and other
+signs of numbers (superscripts, fractions, Roman numerals) belong to no word of their own. Words in
+scripts that no learned language uses count for no language; a text of such words alone gets the
+language learned from most text with score 0. Spans run over such words. Ties go to the language that
+is first by name. Equal texts get equal results; an empty table gives none. A model is learned from the
+rows of the smallest hashes of id and text, whatever the order of rows.
 """
 
 from __future__ import annotations
@@ -49,6 +53,12 @@ _KIND = np.array([_NAMES.index(b) for _, b in SCRIPTS])
 _words = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case; signs of numbers count where a letter is next to them."""
+    found = _words.findall(text.lower())
+    return found if text.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the words, each between two spaces, and the word that each belongs to."""
     points = np.frombuffer((" " + "  ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -93,26 +103,28 @@ class LanguageModel:
     candidates: np.ndarray
     default: int
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Each word's score for each language; 0 for all if no language uses the word's script."""
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's score for each language, 0 for all if no language uses the word's script, and
+        whether one does."""
         h, of = grams(words)
         total = np.stack([np.bincount(of, self.scores[h, k], len(words)) for k in range(len(self.languages))], axis=1)
         able = self.candidates[scripts(words)]
         best = np.where(able, total, -np.inf).max(axis=1, keepdims=True)
         out = np.where(able, total - np.where(np.isfinite(best), best, 0), -60.0)
-        return np.where(able.any(axis=1, keepdims=True), out, 0.0).astype(np.float32)
+        known = able.any(axis=1)
+        return np.where(known[:, None], out, 0.0).astype(np.float32), known
 
 
 def fit(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang", limit: int = FIT_DOCUMENTS, by: str = "doc_id") -> LanguageModel:
     """Learns from at most `limit` of the rows with text and language for which `where` holds: those
     whose hashed `by` is smallest. Every language has the same prior; counts are smoothed by 0.5."""
-    h = F.xxhash64(by)
-    rows = docs.where(where & F.col(lang).isNotNull())
+    rows = docs.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    h = F.xxhash64(F.xxhash64(by), F.xxhash64(text))
     last = rows.select(h.alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
-    fitted = [] if last is None else rows.where((h <= F.lit(last)) & F.col(text).isNotNull()).limit(limit).select(lang, text).collect()
+    fitted = [] if last is None else rows.where(h <= F.lit(last)).select(lang, text, h.alias("h")).orderBy("h").limit(limit).collect()
     counts: dict[str, Counter] = {}
-    for name, t in fitted:
-        counts.setdefault(name, Counter()).update(_words.findall(t.lower()))
+    for name, t, _ in fitted:
+        counts.setdefault(name, Counter()).update(words_of(t))
     languages = sorted(counts)
     table = np.zeros((1 << _BITS, len(languages)))
     letters = np.zeros((len(_NAMES), len(languages)))
@@ -177,43 +189,57 @@ class Labeller:
     def _empty(self) -> None:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.model.languages)), np.float32)
+        self.known = np.zeros(0, bool)
 
     def __call__(self, texts: list[str | None], spans: bool = False) -> tuple[list[str], list[float], list[list[dict]] | None]:
         """Language, score (share of the letters that have it) and spans of each text."""
         m = self.model
         if len(self.at) > self.limit:
             self._empty()
-        words = [_words.findall((text or "").lower()) for text in texts]
+        words = [words_of(text or "") for text in texts]
         lengths = [np.fromiter(map(len, w), np.int32, len(w)) for w in words]
         if m.languages and (new := list(set().union(*words).difference(self.at))):
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, m.words(new)])
-        found = [self.rows[np.fromiter(map(self.at.__getitem__, w), np.int64, len(w))] if m.languages else self.rows for w in words]
-        paths = viterbi(found, self.penalty)
+            rows, known = m.words(new)
+            self.rows, self.known = np.concatenate([self.rows, rows]), np.concatenate([self.known, known])
+        at = [np.fromiter(map(self.at.__getitem__, w), np.int64, len(w)) if m.languages else np.zeros(0, np.int64) for w in words]
+        paths = viterbi([self.rows[i] for i in at], self.penalty)
         langs, scores = [], []
-        for path, n in zip(paths, lengths, strict=True):
+        for path, n, i in zip(paths, lengths, at, strict=True):
             if not len(path):
                 langs.append(UND)
                 scores.append(0.0)
                 continue
-            share = np.bincount(path, n, len(m.languages))
+            share = np.bincount(path, n * self.known[i], len(m.languages))
             known = share.sum()
             k = int(share.argmax()) if known else m.default
             langs.append(m.languages[k])
-            scores.append(float(share[k] / known))
+            scores.append(float(share[k] / known) if known else 0.0)
         return langs, scores, [self._spans(t, p) for t, p in zip(texts, paths, strict=True)] if spans else None
 
     def _spans(self, text: str | None, path: np.ndarray) -> list[dict]:
+        if not len(path):
+            return []
+        names = self.model.languages
+        if (path == path[0]).all() and text.isascii():
+            # one language: from the first letter to the last
+            return [{"start": _words.search(text).start(), "end": len(text) - _words.search(text[::-1]).start(), "lang": names[path[0]]}]
         out: list[dict] = []
-        for w, k in zip(_words.finditer(text or ""), path, strict=False):
-            name = self.model.languages[k]
-            if out and out[-1]["lang"] == name:
+        # the lower case of some letters has more code points, but as many words
+        own = (w for w in _words.finditer(text) if (x := w[0]).isalpha() or any(map(str.isalpha, x)))
+        for w, k in zip(own, path, strict=False):
+            if out and out[-1]["lang"] == names[k]:
                 out[-1]["end"] = w.end()
             else:
-                out.append({"start": w.start(), "end": w.end(), "lang": name})
+                out.append({"start": w.start(), "end": w.end(), "lang": names[k]})
         return out
 
 
+def span_text(spans: str = "spans") -> Column:
+    """Spans as text: start-end:language, by spaces."""
+    return F.array_join(F.transform(spans, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit(":"), s["lang"])), " ")
+
+
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", spans: bool = True, penalty: float = SWITCH) -> DataFrame:
     """The columns in `keep`, lang_pred, score and, if wanted, spans (start, end in code points, lang)."""
     keep = [c for c in keep if c not in ("lang_pred", "score", "spans")]

@@ -31,10 +31,10 @@ def op3_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every whole text of documents, learned from the part that is not held out."""
+    """The language and the spans of every whole text of documents, learned from the part not held out."""
     docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out())
     model = langid.fit(docs, ~held_out())
-    return langid.identify(docs, model, ["doc_id", "held_out"], spans=False)
+    return langid.identify(docs, model, ["doc_id", "held_out"]).withColumn("spans", langid.span_text())
 
 
 def op5_template_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
