@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,6 +130,17 @@ def _tree(col: Column, bounds: list[int], low: int = 0, high: int | None = None)
     return F.when(col < F.lit(bounds[mid]), _tree(col, bounds, mid + 1, high)).otherwise(_tree(col, bounds, low, mid))
 
 
+def _range(col: Column, bounds: list[int]) -> Column:
+    """The same for any number of bounds: a tree finds the run of them, comparisons the place in it."""
+    step = max(1, math.isqrt(len(bounds)))
+    if len(bounds) <= 64:
+        return _tree(col, bounds)
+    runs = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    run = _tree(col, [r[0] for r in runs[1:]])
+    inner = F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in runs]), run + 1)
+    return (run * step + F.size(F.filter(inner, lambda b: b > col))).cast("int")
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, text and columns that deal each row with the row after it to one partition: bucket
     (a range of doc_id), context (true for the copy of a later bucket's first row) and tie. Order is
@@ -136,23 +148,25 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     Only quantiles of doc_id and the first row's id of each bucket reach the driver: `buckets` rows."""
     spark = docs.sparkSession
-    buckets = buckets or max(2, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     found = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("b")).first()["b"]
     bounds = sorted(set(found or []), reverse=True)
-    dealt = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(_tree(F.col("doc_id"), bounds)))
+    dealt = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(_range(F.col("doc_id"), bounds)))
     heads = sorted((r["bucket"], r["h"]["doc_id"], r["h"]["tie"]) for r in dealt.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("h")).collect())
     before = {h[0]: heads[i - 1][0] for i, h in enumerate(heads)}
     if heads:
-        of = lambda at: F.create_map(*[F.lit(x) for h in heads for x in (h[0], at(h))])[F.col("bucket")]
-        ids = F.create_map(*[F.lit(x) for h in heads for x in (h[0], h[1])]).cast("map<int,bigint>")[F.col("bucket")]
-        first = F.col("doc_id").eqNullSafe(ids) & (F.col("tie") == of(lambda h: h[2]))
-        copies = F.when(first, F.array(F.struct(F.col("bucket"), F.lit(False).alias("context")), F.struct(of(lambda h: before[h[0]]).alias("bucket"), F.lit(True).alias("context"))))
+        # a row for each range
+        known = spark.createDataFrame([(b, i, t, before[b]) for b, i, t in heads], "bucket int, head long, head_tie long, before int")
+        dealt = dealt.join(F.broadcast(known), "bucket")
+        first = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie"))
+        copies = F.when(first, F.array(F.struct(F.col("bucket"), F.lit(False).alias("context")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("context"))))
         dealt = dealt.withColumn("to", F.explode(copies.otherwise(F.array(F.struct(F.col("bucket"), F.lit(False).alias("context"))))))
         dealt = dealt.select("doc_id", "text", "tie", "to.bucket", "to.context")
     else:
         dealt = dealt.withColumn("context", F.lit(False))
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "context", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+    # each range is a partition of its own
+    return dealt.repartitionById(len(bounds) + 2, "bucket").sortWithinPartitions("bucket", "context", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
 
 
 def edited_likeness(docs: DataFrame, k: int = K, n: int = 5) -> DataFrame:
