@@ -1,7 +1,8 @@
 """Connected components of a graph by alternating large-star and small-star steps.
 
-Each round is joins and aggregates with map-side combination, checkpointed to the shared folder, so
-neither a node of very many links nor a lost executor stops it. Links never reach the driver.
+Each round is joins and aggregates with map-side combination, checkpointed to the shared folder: a join
+has two plain exchanges, which adaptive execution splits where a node (the root of a large component) has
+very many links. Links never reach the driver.
 """
 
 from __future__ import annotations
@@ -51,9 +52,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if not seen[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpointed(large)
+        small = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(small, "u")
         e = checkpointed(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
