@@ -12,8 +12,10 @@ All that stands before is kept, so what is deleted is left in an earlier place.
 extending have 32 bits, fingerprints 64. Only the first document of a fingerprint is compared: if it has
 a part of a run that another earlier document has whole, up to WINDOW - 1 words may stay at either end.
 
-Null texts stay null, empty ones empty. Rows of one doc_id count as one document: they aren't compared
-with each other. A null doc_id comes after all others; such rows aren't compared with each other.
+Null texts stay null, empty ones empty; an empty table gives no rows. doc_id is taken as a long. Rows of
+one doc_id count as one document: they aren't compared with each other. Rows of a null doc_id come after
+all others: they are compared with those that have one, and not with each other. Names of columns that
+begin with two underscores are for this module.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +35,8 @@ from .common import SLICE_CHARS, Memo, mix, slices, written
 
 GRAM, WINDOW, MIN_WORDS = 30, 22, 30
 _SIDE = WINDOW - 1
-_LAST = 2**63 - 1
+#: Rows of a null id have keys from here on, one for each text.
+_NULLS = 2**62
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -93,12 +96,16 @@ def around(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return padded[np.hstack([at[:, None] + (_SIDE - 1) - _steps, at[:, None] + _SIDE + GRAM + _steps])]
 
 
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(_NULLS - 1) + F.lit(_NULLS))
+
+
 def _memo() -> Memo:
     return Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 3))
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    """o (doc_id, the largest long if null), fp, and repeats: whether a fingerprint comes twice."""
+    """o (the row's key), fp, and repeats: whether a fingerprint comes twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo()
@@ -110,7 +117,7 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
                 repeats = [len(a) < len(b) for a, b in zip(once, every, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(once, pa.list_(pa.int64())), pa.array(repeats)], names=["o", "fp", "repeats"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("o"), "text").mapInArrow(run, "o long, fp array<long>, repeats boolean")
+    return docs.select(_key().alias("o"), "text").mapInArrow(run, "o long, fp array<long>, repeats boolean")
 
 
 def _runs_of_rows(col: pa.Array, rows: np.ndarray) -> Iterator[tuple[list[int], list[str]]]:
@@ -197,14 +204,16 @@ def without(text: str, runs: list[tuple[int, int]]) -> str:
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs with text less its later repeated runs, and n_removed, the number of words deleted. Every
     row stays. docs has doc_id and text; other columns are kept as they are."""
-    table = written(_fingerprints(docs))
+    found = written(_fingerprints(docs))
+    # repeated rows of a null id are one row here
+    table = found.where(F.col("o") < _NULLS).union(found.where(F.col("o") >= _NULLS).dropDuplicates(["o"]))
     each = table.select("o", F.explode("fp").alias("h"))
-    firsts = each.groupBy("h").agg(F.min("o").alias("m"), F.max("o").alias("x")).where("x > m")
+    firsts = each.groupBy("h").agg(F.min("o").alias("m"), F.max("o").alias("x")).where(f"x > m and m < {_NULLS}")
     wanted = firsts.groupBy("m").agg(F.collect_list("h").alias("want"))
     names = [c for c in docs.columns if c != "n_removed"]
     place = names.index("text")
     # one exchange of the texts serves both joins, as both take all of its columns
-    keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__o"))
+    keyed = docs.select(*names, _key().alias("__o"))
     sources = keyed.join(wanted, F.col("__o") == F.col("m")).select(*names, "want", "__o")
     contexts = sources.mapInArrow(_contexts(place), "h long, near array<int>, m long")
     # a join of two exchanges alone, so that a fingerprint of very many documents can be split

@@ -234,6 +234,46 @@ def test_line_dedup_deletes_only_what_stands_before(spark, docs):
     assert removed > 0
 
 
+def test_line_dedup_of_null_ids_and_no_rows(spark):
+    rng = random.Random(14)
+    a, b = words(rng, 90), words(rng, 80)
+    rows = [(1, a), *[(None, f"x{i} {a}") for i in range(3)], *[(None, b)] * 40, (None, None), (7, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_removed", F.lit("taken"))
+    got = linededup.dedup_lines(df).collect()
+    assert len(got) == len(rows)
+    assert sorted(r["text"] for r in got if r["text"] and r["text"].startswith("x")) == ["x0", "x1", "x2"]
+    assert sum(r["text"] == "" for r in got) == 40 and {r["text"] for r in got if r["doc_id"] == 7} == {b}
+    assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def all_repeats(texts, least):
+    """Words of each text in a run of `least` words or more that stands before, by all grams."""
+    seen: set = set()
+    out = []
+    for w in texts:
+        on, own = [False] * len(w), set()
+        for i in range(len(w) - least + 1):
+            g = tuple(w[i : i + least])
+            if g in seen or g in own:
+                on[i : i + least] = [True] * least
+            own.add(g)
+        seen |= own
+        out.append(on)
+    return out
+
+
+def test_every_repeat_of_51_words_in_sf_goes(spark, docs):
+    """All documents of sf0.001: what stands in a run of 51 equal words of an earlier document is deleted;
+    what is deleted is in a run of 30."""
+    rows = sorted((r["doc_id"], (r["text"] or "").split()) for r in docs.collect())
+    long, short = all_repeats([w for _, w in rows], 51), all_repeats([w for _, w in rows], 30)
+    got = {r["doc_id"]: r for r in queries.op3_line_winnowing(spark, SF).collect()}
+    for (d, w), must, may in zip(rows, long, short, strict=True):
+        left = (got[d]["text"] or "").split()
+        assert len(w) - len(left) == got[d]["n_removed"]
+        assert sum(must) <= got[d]["n_removed"] <= sum(may)
+
+
 def test_every_run_of_over_fifty_words_is_deleted_to_the_word(spark):
     """Passages of 51 words, the shortest that count, amid other words and without line ends."""
     rng = random.Random(8)
@@ -273,6 +313,16 @@ def test_spans_of_a_mixed_text_and_odd_rows(spark, odd):
     got = langid.identify(odd, model, ["doc_id", "score"]).collect()
     assert len(got) == len(ODD)
     assert [r["lang_pred"] for r in got[:4]] == ["und"] * 4 and got[0]["spans"] == []
+    label = langid.Labeller(model)
+    langs, scores, _ = label(["½ ² Ⅷ 42 !", "漢字 漢字", "漢字 " + one["de"], "x² " + one["fr"]], True)
+    assert langs[0] == "und" and scores[0] == 0
+    assert langs[1] in model.languages and scores[1] == 0
+    assert langs[2] == "de" and scores[2] > 0.9 and langs[3] == "fr"
+    # positions of one language's span equal those of all words
+    for t in [one["en"], f"1. {one['en']}!?", "½ " + one["fr"]]:
+        got = label([t], True)[2][0]
+        at = [m for m in re.finditer(r"[^\W\d_]+", t) if any(map(str.isalpha, m[0]))]
+        assert got[0]["start"] == at[0].start() and got[-1]["end"] == at[-1].end()
     empty = langid.fit(d.limit(0), ~held_out())
     assert langid.Labeller(empty)(["abc", None])[0] == ["und", "und"]
 
@@ -616,6 +666,39 @@ def test_sketches_merge_and_estimate(spark):
     assert out["x"] == sketch.pack(sketch.merge(a, b)) and out[None] == ""
 
 
+def test_ranges_of_any_number(spark):
+    rng = random.Random(8)
+    bounds = sorted({rng.randrange(10_000) for _ in range(700)}, reverse=True)
+    got = spark.range(0, 10_000, 7).select("id", sketch._range(F.col("id"), bounds).alias("n")).collect()
+    assert all(r["n"] == sum(b > r["id"] for b in bounds) for r in got)
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    dealt = sketch.with_next(df, 90).select("bucket", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r["p"] for r in dealt}) == len(dealt)
+
+
+def plain_sketch(text):
+    """Bottom-k from all shingle hashes, by words one at a time."""
+    w = (text or "").lower().split()
+    h = [xxhash.xxh64_intdigest(x.encode()) for x in w]
+    out, n, full = set(), min(5, len(w)), (1 << 64) - 1
+    for i in range(len(w) - n + 1 if w else 0):
+        v = 0
+        for x in h[i : i + n]:
+            v = (v * 0x9E3779B97F4A7C15 + x) & full
+            v ^= v >> 29
+        v = (v + n) & full
+        v = ((v ^ v >> 30) * 0xBF58476D1CE4E5B9) & full
+        v = ((v ^ v >> 27) * 0x94D049BB133111EB) & full
+        out.add(v ^ v >> 31)
+    return sorted(out)[:128]
+
+
+def test_sketches_equal_brute_force(docs):
+    make = sketch.Sketcher()
+    for r in docs.collect():
+        assert make(r["text"]).tolist() == plain_sketch(r["text"])
+
+
 def test_sketch_odd_rows(odd):
     got = sketch.edited_likeness(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r["near_next"] <= 1 for r in got)
