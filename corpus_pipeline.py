@@ -25,8 +25,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs are deleted; documents of which nothing is left go."""
-    found = linededup.dedup_lines(docs).where(~((F.col("text") == "") & (F.col("n_removed") > 0)))
+    """Later repeated runs are deleted; documents of which no more than a stub is left go: fewer words than
+    a run that counts, and fewer than were deleted. Documents of which nothing is deleted stay as they are."""
+    left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
+    stub = (F.col("n_removed") > 0) & (left < linededup.MIN_WORDS) & (left < F.col("n_removed"))
+    found = linededup.dedup_lines(docs).where(~stub)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
