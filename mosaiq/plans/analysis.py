@@ -62,15 +62,43 @@ def holm_adjust(spark, sf):
     return rounded(r.withColumn("p_adj", holm("p", "pair", "feature")), "p", "p_adj")
 
 
-def _markers(method):
+#: Two-sided normal tail of z as SQL: the series of all positive terms, exact to 1e-13; nothing is left beyond 8.
+_TAIL = "CASE WHEN {z} = 0 THEN 1 WHEN {z} > 8 THEN 0 ELSE 1 - 2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda n: exp((2 * n + 1) * ln({z}) + n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2)))) END"
+#: The effect size by |z|, where the p-value is that of z; p counts from 1e-100 to 0.8.
+_EFFECT = "round((least(greatest({z}, 0.2533471031357997), 21.273453560965855) + 0.8416212335729143) * sqrt((n1 + n2) / (CAST(n1 AS DOUBLE) * n2)), 6)"
+
+
+def _adjusted(p: str, effect: str = "") -> str:
+    """The result of identify_markers from a table p (kept, p) by Holm's adjustment."""
+    return f"""{p}, o AS (SELECT *, count(*) OVER (PARTITION BY pair) AS n, row_number() OVER (PARTITION BY pair ORDER BY p, feature) AS i FROM p)
+SELECT feature AS genes, round(p, 8) AS p_value, round(max(least(1, (n - i + 1) * p)) OVER (PARTITION BY pair ORDER BY p, feature), 6) AS p_value_adj, round(seed_pct, 6) AS seed_pct, round(query_pct, 6) AS query_pct, round(fold_change, 6) AS fold_change, {effect} seed, query FROM o"""
+
+
+def _markers(method, effect=True):
     def run(spark, sf):
-        return markers.identify_markers(retail_counts(spark, sf), retail_cells(spark, sf), method=method, pval=1.0)
+        out = markers.identify_markers(retail_counts(spark, sf), retail_cells(spark, sf), method=method, pval=1.0)
+        out = rounded(rounded(out, "p_value_adj", "seed_pct", "query_pct", "fold_change", "effect_size"), "p_value", digits=8)
+        return out if effect else out.drop("effect_size")
 
     return run
 
 
+_SHARES = "k AS (SELECT *, CAST(round(seed_pct * n1) AS BIGINT) AS a, CAST(round(query_pct * n2) AS BIGINT) AS b FROM kept)"
+_LG = "lgamma({} + 1)".format
+_HYPER = "exp(" + " + ".join(map(_LG, ("n1", "n2", "(a + b)", "(n1 + n2 - a - b)"))) + " - " + " - ".join(map(_LG, ("(n1 + n2)", "{x}", "(n1 - {x})", "(a + b - {x})", "(n2 - a - b + {x})"))) + ")"
+_MARKER_SQL = {
+    "markers_wilcox": _adjusted(f"{_RANK}, p AS (SELECT *, {_TAIL.format(z='abs(z)')} AS p FROM z)", _EFFECT.format(z="abs(z)") + " AS effect_size,"),
+    "markers_chisq": _adjusted(f"""{BASE}, {_SHARES}, x AS (SELECT *, CASE WHEN a + b IN (0, n1 + n2) THEN 0 ELSE sqrt((n1 + n2) * power(greatest(0, abs(a * (n2 - b) - b * (n1 - a)) - (n1 + n2) / 2), 2) / (CAST(n1 AS DOUBLE) * n2 * (a + b) * (n1 + n2 - a - b))) END AS z FROM k),
+p AS (SELECT *, {_TAIL.format(z="z")} AS p FROM x)""", _EFFECT.format(z="z") + " AS effect_size,"),
+    # the integral of Student's density by Simpson's rule in the angle whose tangent is t / sqrt(df)
+    "markers_ttest_p": _adjusted(f"""{BASE}, w AS (SELECT *, abs(m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)) AS df FROM kept), h AS (SELECT *, atan(t / sqrt(df)) / 2000 AS h FROM w),
+p AS (SELECT *, greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * h / 3 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * power(cos(i * h), df - 1)))) AS p FROM h)"""),
+    "markers_fisher_p": _adjusted(f"""{BASE}, {_SHARES}, p AS (SELECT *, least(1, list_sum(list_filter(list_transform(range(greatest(0, a + b - n2), least(n1, a + b) + 1), lambda x: {_HYPER.format(x="x")}), lambda q: q <= {_HYPER.format(x="a")} * (1 + 1e-7)))) AS p FROM k)"""),
+}
 for _name, _method in (("markers_wilcox", "wilcox"), ("markers_ttest", "t.test"), ("markers_chisq", "chisq"), ("markers_fisher", "fisher.exact"), ("markers_logit", "logit"), ("markers_nb_lrt", "LRT")):
-    query(name=_name)(_markers(_method))
+    query(_MARKER_SQL.get(_name), name=_name)(_markers(_method))
+for _name, _method in (("markers_ttest_p", "t.test"), ("markers_fisher_p", "fisher.exact")):
+    query(_MARKER_SQL[_name], name=_name)(_markers(_method, effect=False))
 
 
 @query(f"""WITH {CELLS}, {COUNTS} SELECT DISTINCT feature FROM counts JOIN cells USING (barcode) WHERE territory = 'BUILDING' INTERSECT SELECT feature FROM counts JOIN cells USING (barcode) WHERE territory <> 'BUILDING'""")
@@ -194,6 +222,23 @@ def total_cost(spark, sf):
     return rounded(mapping.total_cost(_costs(spark, sf)), "cost", digits=4)
 
 
+@query(f"""WITH {_COMP}, qs AS (SELECT q.barcode AS query, s.barcode AS seed, round(exp(-sqrt(power(q.x - s.x, 2) + power(q.y - s.y, 2)) / 5), 4) AS near, CASE WHEN q.cell_type = s.cell_type THEN 1 ELSE 0 END AS same FROM cells q, cells s WHERE q.territory = 'BUILDING' AND s.territory = 'MACHINERY'),
+m AS (SELECT a.barcode AS query, b.barcode AS seed, sum(least(a.n, b.n)) / (any_value(a.size) + any_value(b.size) - sum(least(a.n, b.n))) AS score FROM comp a JOIN comp b USING (label) GROUP BY 1, 2)
+SELECT query, seed, round(3 - near - same - coalesce(score, 0), 6) AS cost FROM qs LEFT JOIN m USING (query, seed)""")
+def total_cost_sparse(spark, sf):
+    """A dense kind of score and two that leave out pairs of score 0, which cost 1 there."""
+    c = retail_cells(spark, sf)
+    q, s = c.where("territory = 'BUILDING'"), c.where("territory = 'MACHINERY'")
+    k = _composition(spark, sf)
+    of = lambda d: k.join(d.select("barcode"), "barcode", "left_semi")
+    place = lambda d, n: d.select(F.col("barcode").alias(n), F.col("x").alias(n + "x"), F.col("y").alias(n + "y"))
+    far = F.sqrt(F.pow(F.col("queryx") - F.col("seedx"), 2) + F.pow(F.col("queryy") - F.col("seedy"), 2))
+    near = place(q, "query").crossJoin(place(s, "seed")).select("query", "seed", F.round(F.exp(-far / 5), 4).alias("score"))
+    kinds = (("feature", near), ("composition", mapping.composition_jaccard(of(q), of(s))), ("cell_type", mapping.cell_type_match(q, s)))
+    rows = [d.select(F.lit(n).alias("kind"), "query", "seed", "score") for n, d in kinds]
+    return rounded(mapping.total_cost(rows[0].union(rows[1]).union(rows[2])), "cost")
+
+
 _BEST = f"""{COSTS}, tc AS (SELECT query, seed, round(sum(1 - score), 4) AS cost FROM cs GROUP BY 1, 2),
 bm AS (SELECT query AS "from", seed AS "to", 1 AS epoch, cost FROM tc QUALIFY row_number() OVER (PARTITION BY query ORDER BY cost, seed) = 1)"""
 

@@ -64,27 +64,50 @@ def detect_edges(spark, sf):
     return rounded(image.edges(_pixels(spark, sf)), "value", digits=5)
 
 
-@query()
+@query(f"""WITH {PIXELS}, q AS (SELECT dim, quantile_cont(value, [0, 0.25, 0.5, 0.75, 1]) AS q FROM pixels GROUP BY 1),
+i AS (SELECT dim, x, y, value, q, least(3, greatest(0, len(list_filter(q, lambda b: b <= value)) - 1)) AS i FROM pixels JOIN q USING (dim))
+SELECT dim, x, y, round((i + CASE WHEN q[i + 2] > q[i + 1] THEN (value - q[i + 1]) / (q[i + 2] - q[i + 1]) ELSE 0 END) / 4, 6) AS value FROM i""")
 def equalize_piecewise(spark, sf):
     return rounded(image.equalize_piecewise(_pixels(spark, sf), 3), "value")
 
 
-@query()
+def _plateau(down: str, up: str) -> str:
+    """Histogram counts of 256 bins held between two plateaus, and their running share."""
+    return f"""WITH {PIXELS}, rg AS (SELECT dim, min(value) AS lo, max(value) AS hi, count(*) AS size FROM pixels GROUP BY 1),
+b AS (SELECT dim, x, y, least(255, floor((value - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END * 256)) AS b FROM pixels JOIN rg USING (dim)),
+mean AS (SELECT max(size) / 256 AS mean FROM rg), h AS (SELECT dim, b, greatest({down}, least({up}, count(*))) AS n FROM b, mean GROUP BY dim, b, mean),
+v AS (SELECT dim, b, sum(n) OVER (PARTITION BY dim ORDER BY b) / sum(n) OVER (PARTITION BY dim) AS v FROM h)
+SELECT dim, x, y, round(v, 6) AS value FROM b JOIN v USING (dim, b)"""
+
+
+@query(_plateau("10", "100"))
 def equalize_plateau(spark, sf):
     return rounded(image.equalize_plateau(_pixels(spark, sf)), "value")
 
 
-@query()
+@query(_plateau("0.1 * mean", "10 * mean"))
 def equalize_adaptive(spark, sf):
     return rounded(image.equalize(_pixels(spark, sf), "EqualizeADP"), "value")
 
 
-@query()
+_BOX = "box AS (SELECT max(x) AS mx, max(y) AS my FROM pixels)"
+
+
+def _gauss(src: str, dst: str) -> str:
+    """Rows, then columns, by Gaussian weights of sigma 1 and 2, border pixels repeated; the mean of both."""
+    return f"""{dst}r AS (SELECT s, p.dim, p.x, p.y, sum(w * v.value) AS value FROM {src} p CROSS JOIN wts CROSS JOIN box JOIN {src} v ON v.dim = p.dim AND v.y = p.y AND v.x = least(greatest(p.x + o, 1), mx) GROUP BY s, p.dim, p.x, p.y),
+{dst}c AS (SELECT s, p.dim, p.x, p.y, sum(w * v.value) AS value FROM {src} p CROSS JOIN wts CROSS JOIN box JOIN {dst}r v USING (s) WHERE v.dim = p.dim AND v.x = p.x AND v.y = least(greatest(p.y + o, 1), my) GROUP BY s, p.dim, p.x, p.y),
+{dst} AS (SELECT dim, x, y, avg(value) AS value FROM {dst}c GROUP BY dim, x, y)"""
+
+
+@query(f"""WITH {PIXELS}, {_BOX}, k AS (SELECT s, o, exp(-o * o / (2.0 * s * s)) AS k FROM range(1, 3) a(s), range(-6, 7) b(o) WHERE abs(o) <= 3 * s), wts AS (SELECT s, o, k / sum(k) OVER (PARTITION BY s) AS w FROM k),
+{_gauss("pixels", "once")}, {_gauss("once", "twice")} SELECT dim, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(value, 6) AS value FROM twice""")
 def smooth_iso(spark, sf):
     return rounded(image.smooth(_pixels(spark, sf), "iso", 2, [1, 2], across="mean"), "value")
 
 
-@query()
+@query(f"""WITH {PIXELS}, {_BOX} SELECT p.dim, CAST(p.x AS INTEGER) AS x, CAST(p.y AS INTEGER) AS y, round(median(v.value), 6) AS value FROM pixels p CROSS JOIN range(-2, 3) a(dx) CROSS JOIN range(-2, 3) b(dy) CROSS JOIN box
+JOIN pixels v ON v.dim = p.dim AND v.x = least(greatest(p.x + dx, 1), mx) AND v.y = least(greatest(p.y + dy, 1), my) GROUP BY p.dim, p.x, p.y""")
 def smooth_median(spark, sf):
     return rounded(image.smooth(_pixels(spark, sf), "median", box=5), "value")
 
