@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators.normalize import snap
 from .operators.spatial import nn_scale
-from .operators.tiling import adjust_counts, generate_tiles, shared_barcodes
+from .operators.tiling import adjust_counts, generate_tiles, shared_barcodes, split_barcodes
 
 
 def trial_name(existing: list[str], tag: str) -> str:
@@ -88,6 +88,9 @@ class SpatialAssay:
         return replace(self, territories=self.territories | {name: labels})
 
     def with_tiles(self, tensor_resolution: float = 1, filter_grid: float = 0.01, filter_threshold: float = 0.995) -> SpatialAssay:
+        """Tiles of the cells. Counts become means over merged cells; cells, labels and embeddings are those of
+        the tiles' barcodes: a merged one has no label (null) and no embedding, and its first member's
+        original coordinates."""
         if self.tiles is not None:
             import warnings
 
@@ -95,7 +98,13 @@ class SpatialAssay:
             return self
         t = generate_tiles(self.cells.select("barcode", "x", "y"), tensor_resolution, filter_grid, filter_threshold)
         members = t.select("barcode").distinct()
-        return replace(self, tiles=t, counts={k: adjust_counts(c, members) for k, c in self.counts.items()})._logged("generate_tiles", tensor_resolution=tensor_resolution, filter_grid=filter_grid, filter_threshold=filter_threshold)
+        # what the assay holds goes by the tiles' barcodes from here on
+        origins = t.where("origin = 1").groupBy("barcode").agg(F.min(F.struct("x", "y")).alias("at"))
+        first = split_barcodes(members).join(self.cells.select(F.col("barcode").alias("member"), "x_orig", "y_orig", "z"), "member").groupBy(F.col("cell").alias("barcode")).agg(F.min_by(F.struct("x_orig", "y_orig", "z"), "member").alias("of"))
+        cells = origins.join(first, "barcode").select("barcode", F.col("at.x").cast("double").alias("x"), F.col("at.y").cast("double").alias("y"), "of.x_orig", "of.y_orig", "of.z")
+        labels = {n: members.join(d, "barcode", "left").select(*d.columns) for n, d in self.territories.items()}
+        kept = lambda d: None if d is None else d.join(members, "barcode", "left_semi")
+        return replace(self, tiles=t, cells=cells, counts={k: adjust_counts(c, members) for k, c in self.counts.items()}, territories=labels, embeddings={n: kept(d) for n, d in self.embeddings.items()}, active=kept(self.active))._logged("generate_tiles", tensor_resolution=tensor_resolution, filter_grid=filter_grid, filter_threshold=filter_threshold)
 
     def trial(self, name: str = "last", family: str | None = None) -> DataFrame:
         names = [n for n in self.territories if family is None or n.split(".")[0] == family]
@@ -165,14 +174,13 @@ class SpatialAssay:
         own = at.select("barcode", F.col("from").cast("string").alias("source"))
         counts = {k: c.withColumnRenamed("barcode", "source").join(own, "source").select("feature", "barcode", "value") for k, c in self.counts.items()}
         labels = {t: own.join(self.territories[t].withColumnRenamed("barcode", "source"), "source").select("barcode", "label") for t in trials}
-        return SpatialAssay(f"mapped_{self.name}", snap(at.select("barcode", "x", "y")), counts, territories=labels, cost=costs, mapping=matches, meta=dict(self.meta), active_counts=self.active_counts)._logged("map_assays", jitter=jitter)
+        return SpatialAssay(f"mapped_{self.name}", snap(at.select("barcode", "x", "y")), counts, territories=labels, cost=costs, mapping=at.select("barcode", "from", "to").join(matches, ["from", "to"]), meta=dict(self.meta), active_counts=self.active_counts)._logged("map_assays", jitter=jitter)
 
     def mapping_scores(self) -> DataFrame:
         """Coordinates, seed barcode and scores of a mapped assay."""
         if self.mapping is None:
             raise ValueError("the assay was not mapped")
-        own = self.cells.select("barcode", "x", "y", F.regexp_replace("barcode", "-[0-9]+$", "").alias("__b"))
-        return own.join(self.mapping.withColumn("__b", F.col("from").cast("string")), "__b").drop("__b")
+        return self.cells.select("barcode", "x", "y").join(self.mapping, "barcode")
 
     def describe(self) -> dict:
         """What the assay holds, without running anything."""

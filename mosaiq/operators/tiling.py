@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .spatial import knn_join
 
 JOIN = "_et_"
@@ -68,16 +70,35 @@ def adjust_counts(counts: DataFrame, cells: DataFrame) -> DataFrame:
 
 def voronoi(cells: DataFrame, k: int = 24) -> DataFrame:
     """barcode, x, y, poly (vertices in angular order), area, neighbors: each cell's region within the
-    bounding box widened by a tenth, cut by its k nearest cells' bisectors, one cell at a time."""
-    box = cells.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).first()
+    bounding box widened by a tenth, cut by the bisectors of its nearest cells. k of them are enough if the
+    last is twice as far as the region's farthest vertex; the cells for which it is not take four times as
+    many, until all are sure."""
+    box = cells.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"), F.count("*").alias("n")).first()
+    if not box["n"]:
+        return _regions(cells, cells, 1, []).drop("reach", "last")
     wx, wy = max(1.0, (box["b"] - box["a"]) / 10), max(1.0, (box["d"] - box["c"]) / 10)
     frame = [(box["a"] - wx, box["c"] - wy), (box["b"] + wx, box["c"] - wy), (box["b"] + wx, box["d"] + wy), (box["a"] - wx, box["d"] + wy)]
+    found, todo = None, cells
+    while True:
+        k = min(k, box["n"] - 1)
+        out = cut(_regions(todo, cells, k, frame))
+        sure = F.lit(True) if k == box["n"] - 1 else F.col("reach") <= F.col("last")
+        found = out.where(sure) if found is None else found.union(out.where(sure))
+        todo = out.where(~sure).select("barcode", "x", "y")
+        if k == box["n"] - 1 or todo.isEmpty():
+            return found.drop("reach", "last")
+        k *= 4
+
+
+def _regions(some: DataFrame, cells: DataFrame, k: int, frame: list[tuple[float, float]]) -> DataFrame:
+    """voronoi's columns for some cells by k others, with reach (twice the distance of the farthest vertex)
+    and last (the distance of the k-th other)."""
     at = cells.select(F.col("barcode").alias("neighbor"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    near = knn_join(cells, cells, k + 1).where("center <> neighbor").join(at, "neighbor").groupBy(F.col("center").alias("barcode")).agg(F.collect_list(F.struct("dist", "neighbor", "nx", "ny")).alias("near"))
+    near = knn_join(some, cells, k + 1).where("center <> neighbor").join(at, "neighbor").groupBy(F.col("center").alias("barcode")).agg(F.collect_list(F.struct("dist", "neighbor", "nx", "ny")).alias("near"))
 
     def cut_polygon(frames):
         for f in frames:
-            polys, areas, kept = [], [], []
+            polys, areas, kept, reach, last = [], [], [], [], []
             for x, y, near_ in zip(f["x"], f["y"], f["near"], strict=True):
                 poly, of = list(frame), [None] * 4
                 for n in sorted(near_ if near_ is not None else [], key=lambda n: n["dist"]):
@@ -102,16 +123,22 @@ def voronoi(cells: DataFrame, k: int = 24) -> DataFrame:
                 polys.append([{"x": p, "y": q} for p, q in poly])
                 areas.append(abs(sum(poly[i][0] * poly[(i + 1) % len(poly)][1] - poly[(i + 1) % len(poly)][0] * poly[i][1] for i in range(len(poly)))) / 2 if poly else 0.0)
                 kept.append(sorted({o for o in of if o is not None}))
-            yield f[["barcode", "x", "y"]].assign(poly=polys, area=areas, neighbors=kept)
+                reach.append(2 * max((math.hypot(p - x, q - y) for p, q in poly), default=0.0))
+                last.append(max((n["dist"] for n in near_), default=0.0) if near_ is not None else 0.0)
+            yield f[["barcode", "x", "y"]].assign(poly=polys, area=areas, neighbors=kept, reach=reach, last=last)
 
-    return cells.select("barcode", "x", "y").join(near, "barcode", "left").mapInPandas(cut_polygon, "barcode string, x double, y double, poly array<struct<x:double,y:double>>, area double, neighbors array<string>")
+    return some.select("barcode", "x", "y").join(near, "barcode", "left").mapInPandas(cut_polygon, "barcode string, x double, y double, poly array<struct<x:double,y:double>>, area double, neighbors array<string>, reach double, last double")
 
 
 def filter_tiles(tiles: DataFrame, threshold: float) -> DataFrame:
-    """Without tiles of an area at or above the quantile `threshold`; 1 keeps all."""
+    """Without tiles of an area at or above the quantile `threshold`, nor among others' neighbours; 1 keeps all."""
     if threshold == 1:
         return tiles
-    return tiles.crossJoin(F.broadcast(tiles.agg(F.percentile("area", threshold).alias("q")))).where("area < q").drop("q")
+    kept = tiles.crossJoin(F.broadcast(tiles.agg(F.percentile("area", threshold).alias("q")))).where("area < q").drop("q")
+    if "neighbors" not in tiles.columns:
+        return kept
+    edges = kept.select("barcode", F.explode("neighbors").alias("n")).join(kept.select(F.col("barcode").alias("n")), "n", "left_semi").groupBy("barcode").agg(F.array_sort(F.collect_list("n")).alias("__n"))
+    return kept.join(edges, "barcode", "left").withColumn("neighbors", F.coalesce("__n", F.array().cast("array<string>"))).select(*tiles.columns)
 
 
 def rasterise(tiles: DataFrame) -> DataFrame:

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df by way of a reliable checkpoint in the folder that spark.checkpoint.dir names (in a temporary
-    folder where it is unset, as in tests), so that loops have short lineage and survive lost executors."""
+    """df by way of a reliable checkpoint in the folder that spark.checkpoint.dir names, so that loops have
+    short lineage and survive lost executors. Where it is unset a temporary folder does in one process;
+    executors of a cluster would not see it, so there RuntimeError is raised."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mosaiq-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mosaiq-"))
     return df.checkpoint()

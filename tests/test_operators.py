@@ -288,3 +288,50 @@ def test_mapped_assay(spark):
     assert out.describe()["mapped"] and out.name == "mapped_query"
     with pytest.raises(ValueError):
         a.mapping_scores()
+
+
+def test_regions_are_exact_where_density_is_uneven(spark):
+    """A cluster of many cells beside few far ones: each point of the frame's inside is in the region of its
+    nearest cell, and neighbours are mutual."""
+    import random
+
+    rng = random.Random(3)
+    points = [(f"c{i}", rng.gauss(0, 0.5), rng.gauss(0, 0.5)) for i in range(90)] + [(f"f{i}", rng.uniform(-40, 40), rng.uniform(-40, 40)) for i in range(12)]
+    got = {r["barcode"]: r for r in tiling.voronoi(spark.createDataFrame(points, "barcode string, x double, y double"), 8).collect()}
+    assert set(got) == {p[0] for p in points}
+
+    def inside(poly, x, y):
+        side = [(b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) for a, b in zip(poly, [*poly[1:], poly[0]], strict=True)]
+        return all(s >= -1e-9 for s in side) or all(s <= 1e-9 for s in side)
+
+    for _ in range(400):
+        x, y = (rng.gauss(0, 1), rng.gauss(0, 1)) if rng.random() < 0.5 else (rng.uniform(-38, 38), rng.uniform(-38, 38))
+        if not (min(p[1] for p in points) <= x <= max(p[1] for p in points) and min(p[2] for p in points) <= y <= max(p[2] for p in points)):
+            continue
+        name = min(points, key=lambda p: (p[1] - x) ** 2 + (p[2] - y) ** 2)[0]
+        assert inside(got[name]["poly"], x, y)
+    assert all(b in got[n]["neighbors"] for b, r in got.items() for n in r["neighbors"])
+    dropped = tiling.filter_tiles(tiling.voronoi(spark.createDataFrame(points, "barcode string, x double, y double"), 8), 0.9).collect()
+    left = {r["barcode"] for r in dropped}
+    assert len(left) < len(points) and all(set(r["neighbors"]) <= left for r in dropped)
+
+
+def test_tiling_keeps_one_set_of_barcodes(spark):
+    cells = spark.createDataFrame([(f"b{i}-1", float(i % 16), float(i // 16)) for i in range(256)], "barcode string, x double, y double")
+    counts = cells.select(F.lit("f").alias("feature"), "barcode", F.lit(2.0).alias("value"))
+    a = SpatialAssay.build(cells, counts, scale=1.0).add_trial("Cells", cells.select("barcode", F.lit("A").alias("label")))
+    a = a.add_embeddings(cells.select("barcode", F.array(F.lit(0.0)).alias("vec"))).with_tiles(0.5, 1, 1)
+    names = {r[0] for r in a.cells.select("barcode").collect()}
+    assert names == {r[0] for r in a.tiles.select("barcode").distinct().collect()} == {r[0] for r in a.get_counts().select("barcode").distinct().collect()}
+    assert names == {r[0] for r in a.trial().select("barcode").collect()} and any("_et_" in n for n in names)
+    assert {r[0] for r in a.active.select("barcode").collect()} <= names
+    assert a.get_coordinates(original=True).where("x is null or y is null").count() == 0
+
+
+def test_scores_of_barcodes_that_end_in_a_number(spark):
+    cells = spark.createDataFrame([("ACGT-1", 1.0, 1.0), ("TTTT-1", 2.0, 3.0), ("AAAA-1", 5.0, 5.0)], "barcode string, x double, y double")
+    counts = cells.select(F.lit("f").alias("feature"), "barcode", F.lit(2.0).alias("value"))
+    a = SpatialAssay.build(cells, counts, scale=1.0)
+    m = spark.createDataFrame([("ACGT-1", "TTTT-1", 1, 0.5), ("ACGT-1", "AAAA-1", 1, 0.7), ("TTTT-1", "AAAA-1", 1, 0.1)], "from string, to string, epoch int, cost double")
+    got = {(r["barcode"], r["from"], r["to"], r["cost"]) for r in a.mapped_on(a, m).mapping_scores().collect()}
+    assert got == {("ACGT-1", "ACGT-1", "TTTT-1", 0.5), ("ACGT-1-1", "ACGT-1", "AAAA-1", 0.7), ("TTTT-1", "TTTT-1", "AAAA-1", 0.1)}
