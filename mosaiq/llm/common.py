@@ -24,9 +24,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the cluster names it in
-    spark.checkpoint.dir; where that is unset (tests on one machine), a temporary folder."""
+    spark.checkpoint.dir; where that is unset, a temporary folder in one process, and RuntimeError on a
+    cluster, whose executors would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         root = tempfile.mkdtemp(prefix="mosaiq-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
