@@ -208,7 +208,8 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     # repeated rows of a null id are one row here
     table = found.where(F.col("o") < _NULLS).union(found.where(F.col("o") >= _NULLS).dropDuplicates(["o"]))
     each = table.select("o", F.explode("fp").alias("h"))
-    firsts = each.groupBy("h").agg(F.min("o").alias("m"), F.max("o").alias("x")).where(f"x > m and m < {_NULLS}")
+    # no filter on m itself: one would reach the texts of one join alone, which then were shuffled twice
+    firsts = each.groupBy("h").agg(F.min(F.when(F.col("o") < _NULLS, F.col("o"))).alias("m"), F.max("o").alias("x")).where("x > m")
     wanted = firsts.groupBy("m").agg(F.collect_list("h").alias("want"))
     names = [c for c in docs.columns if c != "n_removed"]
     place = names.index("text")
