@@ -82,7 +82,7 @@ def cuts(texts: list[str], bits: int = _BITS) -> list[list[int]]:
 class ChunkEncoder:
     """Encodes texts chunk by chunk. One is kept in each Python worker for each vocabulary file."""
 
-    def __init__(self, path: str, bits: int = _BITS, limit: int = 250_000):
+    def __init__(self, path: str, bits: int = _BITS, limit: int = 150_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
@@ -98,7 +98,7 @@ class ChunkEncoder:
         self.written = {b: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0][-1] for b in range(128)}
         self.written |= {c: "".join(x for x, _ in pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))) for c in range(128, 256)}
         self.pieces = Memo(self._piece, limit)
-        self.chunks = Memo(self._chunk, 200_000)
+        self.chunks = Memo(self._chunk, 60_000)
         #: Chunks and code points seen, and those of chunks seen before.
         self.seen, self.reused = [0, 0], [0, 0]
         #: The vocabulary's own word pattern for lower-case Latin-1 text without control characters.

@@ -150,7 +150,7 @@ class Index:
         agree = max(0.3, 1 - 1.6 * tolerance)
         tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**sampled)) if tolerance else 1
         self.tolerance, self.classes = tolerance, []
-        self.words = Memo(word_hash)
+        self.words = Memo(word_hash, 150_000)
         by: dict[int, list] = {}
         #: Of short items, by their number of words: hash -> ids.
         self.short: dict[int, dict[int, list]] = {}

@@ -182,7 +182,7 @@ def viterbi(steps: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 class Labeller:
     """Labels texts by a model; word scores are kept between texts."""
 
-    def __init__(self, model: LanguageModel, penalty: float = SWITCH, limit: int = 250_000):
+    def __init__(self, model: LanguageModel, penalty: float = SWITCH, limit: int = 150_000):
         self.model, self.penalty, self.limit = model, penalty, limit
         self._empty()
 
@@ -251,7 +251,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = Labeller(sent.value, penalty)
         for batch in batches:
-            for part, texts in slices(batch, "__text", 4_000_000):
+            for part, texts in slices(batch, "__text"):
                 langs, scores, found = label(texts, spans)
                 arrays = [part.column(i) for i in range(len(keep))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())] + ([pa.array(found, arrow)] if spans else [])
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)

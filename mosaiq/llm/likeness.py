@@ -48,7 +48,7 @@ def sets(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
     """by, s (the hash of a set), bands and items, of texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 5))
+        memo = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 5), 150_000)
         for batch in batches:
             for part, texts in slices(batch, "__text"):
                 found = [shingle_set(t, memo) for t in texts]
