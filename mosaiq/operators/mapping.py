@@ -112,7 +112,7 @@ def territory_signal(counts: DataFrame, cells: DataFrame) -> DataFrame:
     """territory, feature, value: the mean over a territory's cells; its cells share it, so none of the
     pairs of cells is made."""
     sizes = cells.groupBy("territory").agg(F.count("*").alias("n"))
-    return counts.join(cells.select("barcode", "territory"), "barcode").groupBy("territory", "feature").agg(F.sum("value").alias("s")).join(F.broadcast(sizes), "territory").select("territory", "feature", (F.col("s") / F.col("n")).alias("value"))
+    return counts.join(cells.select("barcode", "territory"), "barcode").groupBy("territory", "feature").agg(F.sum("value").alias("s")).join(sizes, "territory").select("territory", "feature", (F.col("s") / F.col("n")).alias("value"))
 
 
 def composition(cells: DataFrame, near: DataFrame) -> DataFrame:
@@ -165,9 +165,12 @@ def batches(queries: DataFrame, seeds: DataFrame, size: int, epoch: int) -> tupl
     n = max(-(-ns // b), -(-nq // b))
 
     def dealt(df: DataFrame, name: str, have: int) -> DataFrame:
-        rank = F.row_number().over(W.orderBy(F.xxhash64(name, F.lit(epoch)), name)) - 1
+        # the hash's first 12 bits make 4,096 parts, so that no task sorts all rows
+        parts = df.select(name, F.xxhash64(name, F.lit(epoch)).alias("h")).withColumn("part", F.shiftright("h", 52))
+        before = parts.groupBy("part").agg(F.count("*").alias("m")).select("part", (F.sum("m").over(W.orderBy("part")) - F.col("m")).alias("before"))
+        rank = F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("h", name)) - 1
         times = -(-n * b // have)
-        spread = df.select(name).withColumn("r", rank).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("p", F.col("r") + F.col("t") * have)
+        spread = parts.join(before, "part").select(name, rank.alias("r")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("p", F.col("r") + F.col("t") * have)
         limit = n * b if have < max(nq, ns) else have
         return spread.where(F.col("p") < limit).select(name, (F.floor(F.col("p") / b)).cast("int").alias("batch")).distinct()
 

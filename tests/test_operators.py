@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import warnings
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,3 +336,45 @@ def test_scores_of_barcodes_that_end_in_a_number(spark):
     m = spark.createDataFrame([("ACGT-1", "TTTT-1", 1, 0.5), ("ACGT-1", "AAAA-1", 1, 0.7), ("TTTT-1", "AAAA-1", 1, 0.1)], "from string, to string, epoch int, cost double")
     got = {(r["barcode"], r["from"], r["to"], r["cost"]) for r in a.mapped_on(a, m).mapping_scores().collect()}
     assert got == {("ACGT-1", "ACGT-1", "TTTT-1", 0.5), ("ACGT-1-1", "ACGT-1", "AAAA-1", 0.7), ("TTTT-1", "TTTT-1", "AAAA-1", 0.1)}
+
+
+@pytest.mark.parametrize("radius", [0.02, 0.05, 0.13])
+def test_isolate_equals_brute_force(spark, radius):
+    rng = np.random.default_rng(7)
+    xy = np.round(rng.uniform(0, 12, (500, 2)) ** 1.3, 1)
+    xy[::9] = xy[1::9][: len(xy[::9])]
+    seg = [None if i % 50 == 0 else str(s) for i, s in enumerate(rng.integers(0, 3, 500))]
+    rows = [(f"c{i:03d}", float(x), float(y), s) for i, ((x, y), s) in enumerate(zip(xy, seg, strict=True))]
+    r = float(np.hypot(*(xy.max(0) - xy.min(0)))) * radius
+    root = list(range(500))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(500):
+        for j in range(i):
+            if seg[i] is not None and seg[i] == seg[j] and float(np.hypot(*(xy[i] - xy[j]))) <= r:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    members = {}
+    for i in range(500):
+        members.setdefault(top(i), set()).add(rows[i][0])
+    got = {}
+    for x in territory.isolate(spark.createDataFrame(rows, "barcode string, x double, y double, segment string"), radius, 3).collect():
+        got.setdefault(x["territory"], set()).add(x["barcode"])
+    alone = got.pop("isolated", set())
+    big = [members[k] for k in sorted(members) if len(members[k]) > 3]
+    assert [got[str(k + 1)] for k in range(len(big))] == big and len(got) == len(big)
+    assert len(alone) == sum(len(m) for m in members.values() if len(m) <= 3)
+
+
+def test_batches_keep_the_hashed_order(spark):
+    q = spark.range(2500).select(F.concat(F.lit("q"), "id").alias("query"))
+    s = spark.range(900).select(F.concat(F.lit("s"), "id").alias("seed"))
+    a, b, n = mapping.batches(q, s, 400, 2)
+    order = [r["query"] for r in q.orderBy(F.xxhash64("query", F.lit(2)), "query").collect()]
+    assert n == 7 and {r["query"]: r["batch"] for r in a.collect()} == {name: i // 400 for i, name in enumerate(order)}
+    order = [r["seed"] for r in s.orderBy(F.xxhash64("seed", F.lit(2)), "seed").collect()]
+    assert {(r["seed"], r["batch"]) for r in b.collect()} == {(order[p % 900], p // 400) for p in range(2800)}
