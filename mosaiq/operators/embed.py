@@ -113,7 +113,7 @@ def nmf(v: DataFrame, dims: int, iterations: int = 60, seed: int = 1) -> DataFra
 
 def loading_sum(counts: DataFrame, loadings: DataFrame) -> DataFrame:
     """barcode, dim, value: for each cell and component the sum of |loading| over features with counts."""
-    return counts.where("value > 0").join(F.broadcast(loadings), "feature").groupBy("barcode", "dim").agg(F.sum(F.abs("loading")).alias("value"))
+    return counts.where("value > 0").join(loadings, "feature").groupBy("barcode", "dim").agg(F.sum(F.abs("loading")).alias("value"))
 
 
 def umap_layout(v: DataFrame, dims: int = 3, k: int = 15, epochs: int = 60, seed: int = 1) -> DataFrame:

@@ -42,8 +42,8 @@ def concat_embed(a: DataFrame, b: DataFrame, normalization: str = "log_norm", di
 def back_infer(embeds: DataFrame, loadings: DataFrame, means: DataFrame) -> DataFrame:
     """feature, barcode, value: the embedding times the loadings plus the feature's mean, at least 0.
     embeds (barcode, dim, value), loadings (feature, dim, loading), means (feature, mean)."""
-    s = embeds.join(F.broadcast(loadings), "dim").groupBy("feature", "barcode").agg(F.sum(F.col("value") * F.col("loading")).alias("s"))
-    return s.join(F.broadcast(means), "feature").select("feature", "barcode", F.greatest(F.lit(0.0), F.col("s") + F.col("mean")).alias("value"))
+    s = embeds.join(loadings, "dim").groupBy("feature", "barcode").agg(F.sum(F.col("value") * F.col("loading")).alias("s"))
+    return s.join(means, "feature").select("feature", "barcode", F.greatest(F.lit(0.0), F.col("s") + F.col("mean")).alias("value"))
 
 
 def merge_coordinates(matched: DataFrame, reference: DataFrame) -> DataFrame:

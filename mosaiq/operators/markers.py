@@ -21,7 +21,7 @@ def groups(cells: DataFrame, seed: list[str] | None = None, query: list[str] | N
     name = lambda ts: F.lit(" ".join(map(str, ts)))
     if not seed and not query:
         each = lab.select("territory").distinct().withColumnRenamed("territory", "seed")
-        rows = lab.crossJoin(F.broadcast(each)).select(F.col("seed").alias("pair"), F.when(F.col("territory") == F.col("seed"), "seed").otherwise("query").alias("side"), "seed", F.lit("remaining").alias("query"), "barcode")
+        rows = lab.crossJoin(each).select(F.col("seed").alias("pair"), F.when(F.col("territory") == F.col("seed"), "seed").otherwise("query").alias("side"), "seed", F.lit("remaining").alias("query"), "barcode")
     else:
         s = F.col("territory").isin([str(t) for t in seed]) if seed else ~F.col("territory").isin([str(t) for t in query])
         q = F.col("territory").isin([str(t) for t in query]) if query else ~F.col("territory").isin([str(t) for t in seed])
@@ -39,7 +39,7 @@ def metrics(counts: DataFrame, grouped: DataFrame, min_cells: int = 10) -> DataF
     sizes = grouped.groupBy("pair", "seed", "query").agg(F.count(F.when(F.col("side") == "seed", 1)).alias("n1"), F.count(F.when(F.col("side") == "query", 1)).alias("n2")).where((F.col("n1") >= min_cells) & (F.col("n2") >= min_cells))
     sums = counts.join(grouped.select("pair", "side", "barcode"), "barcode").groupBy("pair", "feature").agg(
         *[a.alias(n + k) for k, s in (("1", "seed"), ("2", "query")) for n, a in (("s", F.coalesce(F.sum(side(s)), F.lit(0.0))), ("q", F.coalesce(F.sum(side(s) * F.col("value")), F.lit(0.0))), ("p", F.count(F.when((F.col("side") == s) & (F.col("value") > 0), 1))))])
-    m = sums.join(F.broadcast(sizes), "pair")
+    m = sums.join(sizes, "pair")
     var = lambda k: (F.col("q" + k) - F.col("s" + k) * F.col("s" + k) / F.col("n" + k)) / (F.col("n" + k) - 1)
     return m.select("pair", "feature", "seed", "query", "n1", "n2", (F.col("p1") / F.col("n1")).alias("seed_pct"), (F.col("p2") / F.col("n2")).alias("query_pct"), (F.col("s1") / F.col("n1")).alias("mean1"), (F.col("s2") / F.col("n2")).alias("mean2"), var("1").alias("var1"), var("2").alias("var2"), (F.col("s1") / F.col("n1") - F.col("s2") / F.col("n2")).alias("fold_change"))
 

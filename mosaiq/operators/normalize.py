@@ -24,7 +24,7 @@ def moments(counts: DataFrame, n_cells: int | Column) -> DataFrame:
 def zscale(counts: DataFrame, cells: DataFrame, clip: float = 10.0) -> DataFrame:
     """Dense z-scores of each feature over all cells, clipped from above; 0 for a constant feature."""
     m = moments(counts, cells.select("barcode").distinct().count())
-    grid = cells.select("barcode").distinct().crossJoin(F.broadcast(m))
+    grid = cells.select("barcode").distinct().crossJoin(m)
     z = (F.coalesce("value", F.lit(0.0)) - F.col("mean")) / F.sqrt("var")
     return grid.join(counts, ["feature", "barcode"], "left").select("feature", "barcode", F.when(F.col("var") > 0, F.least(z, F.lit(clip))).otherwise(F.lit(0.0)).alias("value"))
 

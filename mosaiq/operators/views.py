@@ -38,7 +38,7 @@ def territory_plot(cells: DataFrame, highlight: list[str] | None = None, alpha:
     """barcode, x, y, territory, color (rank of the label) and alpha (0.15 of it off the highlight); with
     contour `convex` the hull's points of each territory in angular order, isolated ones left out."""
     ranks = order_labels(cells.select(F.col("territory").alias("label")))
-    out = cells.join(F.broadcast(ranks), F.col("territory") == F.col("label")).select("barcode", "x", "y", "territory", F.col("rank").alias("color"))
+    out = cells.join(ranks, F.col("territory") == F.col("label")).select("barcode", "x", "y", "territory", F.col("rank").alias("color"))
     a = F.lit(alpha) if highlight is None else F.when(F.col("territory").isin([str(h) for h in highlight]), F.lit(alpha)).otherwise(F.lit(0.15 * alpha))
     out = out.withColumn("alpha", a)
     if contour == "None":

@@ -204,7 +204,7 @@ def _costs(spark, sf):
     s, q = _sides(spark, sf)
     sim = rounded(mapping.similarity(q, s, "pearson_exact", 12), "score", digits=4)
     place = lambda d, n: d.select(F.col("barcode").alias(n), F.col("x").alias(n + "x"), F.col("y").alias(n + "y"))
-    near = sim.select("query", "seed").join(F.broadcast(place(q, "query")), "query").join(F.broadcast(place(s, "seed")), "seed")
+    near = sim.select("query", "seed").join(place(q, "query"), "query").join(place(s, "seed"), "seed")
     d = F.sqrt(F.pow(F.col("queryx") - F.col("seedx"), 2) + F.pow(F.col("queryy") - F.col("seedy"), 2))
     return sim.select(F.lit("feature").alias("kind"), "query", "seed", "score").union(near.select(F.lit("niche"), "query", "seed", F.round(F.exp(-d / 5), 4)))
 
