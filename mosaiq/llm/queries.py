@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, htmltext, langid, linededup, simhash, toxicity, warc
+from . import chat, decontaminate, htmltext, langid, linededup, mixture, repair, simhash, toxicity, trie, warc
 from .bpe import bpe_encode
 from .common import held_out, read
+from .prefix import run_digests
 from .sketch import edited_likeness
 
 
@@ -70,9 +71,34 @@ def op10_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(read(spark, sf_dir, "documents"))
 
 
+def op11_cost_to_go_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a rule and repaired at least cost: faults, edits and a digest of the repaired turns."""
+    found = repair.faults(repair.damaged(read(spark, sf_dir, "conversations")))
+    summary = repair.summaries(found)
+    turns = repair.rebuilt(found, summary).select("conv_id", repair.turn_text().alias("text"))
+    digests = run_digests(turns, "conv_id", "text", "\n").select(F.col("conv_id").alias("__c"), "sha256")
+    out = summary.join(digests, F.col("conv_id").eqNullSafe(F.col("__c")), "left")
+    return out.select(*summary.columns, F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_mixture_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, its source's target and the words that the mix takes of it."""
+    out = mixture.mix(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op13_preorder_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with sums over its subtree and a digest of the ids that end there."""
+    convs = trie.grafted(trie.conversations(read(spark, sf_dir, "conversations")))
+    ends, nodes = trie.build(convs)
+    digests = run_digests(trie.in_order(ends), "node", "ids", ",").select(F.col("node").alias("__n"), "sha256")
+    out = nodes.join(digests, F.col("node") == F.col("__n"), "left")
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": warc.REVISIT_SQL, "op8_preference_format": chat.PREFERENCE_SQL}
+    return {"op1_warc_revisits": warc.REVISIT_SQL, "op8_preference_format": chat.PREFERENCE_SQL, "op11_cost_to_go_repair": repair.REPAIR_SQL, "op12_mixture_rates": mixture.MIX_SQL, "op13_preorder_trie": trie.TRIE_SQL}
