@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -29,6 +30,25 @@ def benjamini_hochberg(p: str, by: str, tie: str) -> Column:
     return F.min(F.least(F.lit(1.0), n / F.row_number().over(w) * F.col(p))).over(W.partitionBy(by).orderBy(F.desc(p), F.desc(tie)))
 
 
+@functools.lru_cache(maxsize=4096)
+def rank_sum_ways(n1: int, n2: int) -> tuple[int, ...]:
+    """In how many ways n1 of n1 + n2 cells have each rank sum, from the least on: the last cell is of one side or the other."""
+    ways = [[int(not k), *[0] * (n1 * n2)] for k in range(n1 + 1)]  # of k cells among those seen so far, shifted by the least sum
+    for seen in range(1, n1 + n2 + 1):
+        for k in range(min(seen, n1), max(0, seen - n2) - 1, -1):
+            if k and seen > k - 1:
+                low, shift = ways[k - 1], seen - k  # the cell of rank `seen` as the k-th: others of its side before it
+                ways[k] = [a + (low[i - shift] if i >= shift else 0) for i, a in enumerate(ways[k])] if seen > k else low[:]
+    return tuple(ways[n1])
+
+
+def rank_sum_two_sided(w: int, n1: int, n2: int) -> float:
+    """Exact p-value of the rank sum statistic w (from 0 to n1 * n2) without ties."""
+    ways = rank_sum_ways(n1, n2)
+    tail = sum(ways[w:]) if w > n1 * n2 / 2 else sum(ways[: w + 1])
+    return min(1.0, 2 * tail / math.comb(n1 + n2, n1))
+
+
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import benjamini_hochberg, holm
-from ..operators import mapping, markers, metrics, views
+from ..operators import count_models, mapping, markers, metrics, views
 from ..sources.bindings import CELLS, COUNTS, LATENT, latent_assay, retail_cells, retail_counts
 from .registry import query, rounded
 
@@ -19,9 +19,8 @@ BASE = f"WITH {CELLS}, {COUNTS}, {GROUPS}, {DENSE}, {MET}"
 
 
 def _kept(spark, sf):
-    c = retail_counts(spark, sf)
-    g = markers.groups(retail_cells(spark, sf))
-    return c, g, markers.tested(markers.metrics(c, g))
+    c, cells = retail_counts(spark, sf), retail_cells(spark, sf)
+    return c, cells, markers.tested(markers.metrics_of_rest(c, cells))
 
 
 @query(f"WITH {CELLS}, {GROUPS} SELECT * FROM grp")
@@ -31,7 +30,7 @@ def deg_groups(spark, sf):
 
 @query(f"{BASE} SELECT pair, feature, seed, query, n1, n2, round(seed_pct, 6) AS seed_pct, round(query_pct, 6) AS query_pct, round(m1 - m2, 6) AS fold_change FROM met")
 def deg_metrics(spark, sf):
-    m = markers.metrics(retail_counts(spark, sf), markers.groups(retail_cells(spark, sf)))
+    m = markers.metrics_of_rest(retail_counts(spark, sf), retail_cells(spark, sf))
     return rounded(m.select("pair", "feature", "seed", "query", "n1", "n2", "seed_pct", "query_pct", "fold_change"), "seed_pct", "query_pct", "fold_change")
 
 
@@ -43,8 +42,7 @@ z AS (SELECT *, CASE WHEN sd > 0 THEN (w - mid - sign(w - mid) * 0.5) / sd ELSE
 
 @query(f"{_RANK} SELECT pair, feature, seed, query, round(seed_pct, 6) AS seed_pct, round(query_pct, 6) AS query_pct, round(fold_change, 6) AS fold_change, round(w, 3) AS w, round(z, 6) AS z FROM z")
 def markers_rank_sum(spark, sf):
-    c, g, kept = _kept(spark, sf)
-    out = markers.rank_sum(c, g, kept).select("pair", "feature", "seed", "query", "seed_pct", "query_pct", "fold_change", "w", "z")
+    out = markers.rank_sum_of_rest(*_kept(spark, sf)).select("pair", "feature", "seed", "query", "seed_pct", "query_pct", "fold_change", "w", "z")
     return rounded(rounded(out, "seed_pct", "query_pct", "fold_change", "z"), "w", digits=3)
 
 
@@ -58,7 +56,7 @@ def markers_welch(spark, sf):
 SELECT pair, feature, round(p, 6) AS p, round(max(least(1, (n - i + 1) * p)) OVER (PARTITION BY pair ORDER BY p, feature), 6) AS p_adj FROM n""")
 def holm_adjust(spark, sf):
     """Holm's adjustment of an upper bound of the rank-sum test's p-values, which both engines can compute."""
-    r = markers.rank_sum(*_kept(spark, sf)).select("pair", "feature", F.least(F.lit(1.0), 2 * F.exp(-F.col("z") * F.col("z") / 2)).alias("p"))
+    r = markers.rank_sum_of_rest(*_kept(spark, sf)).select("pair", "feature", F.least(F.lit(1.0), 2 * F.exp(-F.col("z") * F.col("z") / 2)).alias("p"))
     return rounded(r.withColumn("p_adj", holm("p", "pair", "feature")), "p", "p_adj")
 
 
@@ -95,12 +93,53 @@ p AS (SELECT *, {_TAIL.format(z="z")} AS p FROM x)""", _EFFECT.format(z="z") + "
 p AS (SELECT *, greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * h / 3 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * power(cos(i * h), df - 1)))) AS p FROM h)"""),
     "markers_fisher_p": _adjusted(f"""{BASE}, {_SHARES}, p AS (SELECT *, least(1, list_sum(list_filter(list_transform(range(greatest(0, a + b - n2), least(n1, a + b) + 1), lambda x: {_HYPER.format(x="x")}), lambda q: q <= {_HYPER.format(x="a")} * (1 + 1e-7)))) AS p FROM k)"""),
 }
-for _name, _method in (("markers_wilcox", "wilcox"), ("markers_ttest", "t.test"), ("markers_chisq", "chisq"), ("markers_fisher", "fisher.exact"), ("markers_logit", "logit"), ("markers_nb_lrt", "LRT")):
+for _name, _method in (("markers_wilcox", "wilcox"), ("markers_ttest", "t.test"), ("markers_chisq", "chisq"), ("markers_fisher", "fisher.exact"), ("markers_logit", "logit"), ("markers_nb_lrt", "LRT"), ("markers_qlf", "QLF"), ("markers_deseq2", "DESeq2")):
     query(_MARKER_SQL.get(_name), name=_name)(_markers(_method))
 for _name, _method in (("markers_ttest_p", "t.test"), ("markers_fisher_p", "fisher.exact")):
     query(_MARKER_SQL[_name], name=_name)(_markers(_method, effect=False))
 
 
+@query(f"""WITH {CELLS}, {COUNTS}, v AS (SELECT feature, barcode, value, sum(value) OVER c AS total, count(*) OVER c AS m, row_number() OVER (PARTITION BY barcode ORDER BY value, feature) AS i, (SELECT count(DISTINCT feature) FROM counts) AS g FROM counts WINDOW c AS (PARTITION BY barcode)),
+q AS (SELECT barcode, total, coalesce(max(value / total) FILTER (g - m + i - 1 = floor(0.75 * (g - 1))), 0) AS lo, coalesce(max(value / total) FILTER (g - m + i - 1 = ceil(0.75 * (g - 1))), 0) AS hi, max(0.75 * (g - 1) - floor(0.75 * (g - 1))) AS w, sum(sqrt(value)) AS roots FROM v GROUP BY barcode, total),
+p AS (SELECT *, lo + w * (hi - lo) AS q FROM q),
+r AS (SELECT barcode, total FROM p ORDER BY CASE WHEN (SELECT count(*) FILTER (q < 1e-20) * 2 > count(*) FROM p) THEN -roots ELSE abs(q - (SELECT avg(q) FROM p)) END, barcode LIMIT 1),
+x AS (SELECT c.barcode, log2((c.value / p.total) / (k.value / r.total)) AS ratio, (log2(c.value / p.total) + log2(k.value / r.total)) / 2 AS s, (p.total - c.value) / p.total / c.value + (r.total - k.value) / r.total / k.value AS var
+  FROM counts c JOIN p ON p.barcode = c.barcode CROSS JOIN r JOIN counts k ON k.barcode = r.barcode AND k.feature = c.feature),
+y AS (SELECT *, rank() OVER (PARTITION BY barcode ORDER BY round(ratio, 9)) + (count(*) OVER (PARTITION BY barcode, round(ratio, 9)) - 1) / 2 AS by_ratio, rank() OVER (PARTITION BY barcode ORDER BY round(s, 9)) + (count(*) OVER (PARTITION BY barcode, round(s, 9)) - 1) / 2 AS by_s, count(*) OVER (PARTITION BY barcode) AS n FROM x),
+f AS (SELECT barcode, CASE WHEN max(abs(ratio)) < 1e-6 THEN 0 ELSE sum(ratio / var) FILTER (k) / sum(1 / var) FILTER (k) END AS f
+  FROM (SELECT *, by_ratio BETWEEN floor(n * 0.3) + 1 AND n - floor(n * 0.3) AND by_s BETWEEN floor(n * 0.05) + 1 AND n - floor(n * 0.05) AND var > 0 AS k FROM y) GROUP BY barcode)
+SELECT p.barcode, round(p.total, 2) AS total, round(power(2.0, coalesce(f, 0) - avg(coalesce(f, 0)) OVER ()), 6) AS factor FROM p LEFT JOIN f ON f.barcode = p.barcode""")
+def tmm_factors(spark, sf):
+    """Library sizes of customers and their trimmed-mean factors."""
+    return rounded(rounded(count_models.trimmed_mean_factors(retail_counts(spark, sf)), "factor"), "total", digits=2)
+
+
+@query(f"""WITH {CELLS}, {COUNTS}, g AS (SELECT feature, barcode, ln(1 + floor(value)) AS lg FROM counts JOIN cells USING (barcode)), m AS (SELECT feature, sum(lg) / (SELECT count(*) FROM cells) AS mean FROM g GROUP BY feature)
+SELECT c.barcode, round(exp(median(coalesce(lg, 0) - mean)), 6) AS factor FROM cells c CROSS JOIN m LEFT JOIN g ON g.feature = m.feature AND g.barcode = c.barcode GROUP BY c.barcode""")
+def size_factors(spark, sf):
+    """Customers' size factors by medians of ratios."""
+    return rounded(count_models.median_ratio_factors(retail_counts(spark, sf), retail_cells(spark, sf)), "factor")
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT CAST(c_nationkey AS VARCHAR) AS pair, c_mktsegment = 'BUILDING' AS seed, round(c_acctbal + 1000, 2) AS v FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+s AS (SELECT pair, count(*) FILTER (seed) AS n1, count(*) FILTER (NOT seed) AS n2, count(*) > count(DISTINCT v) AS ties FROM v GROUP BY pair),
+r AS (SELECT pair, seed, rank() OVER (PARTITION BY pair ORDER BY v) + (count(*) OVER (PARTITION BY pair, v) - 1) / 2 AS r, count(*) OVER (PARTITION BY pair, v) AS t FROM v),
+w AS (SELECT s.*, (SELECT sum(r) FROM r WHERE r.pair = s.pair AND seed) - n1 * (n1 + 1) / 2 AS w, (SELECT sum(CAST(t AS DOUBLE) * t - 1) FROM r WHERE r.pair = s.pair) AS tied FROM s WHERE n1 > 0 AND n2 > 0),
+-- one cell after the other is taken into the seed side or not: ways by cells seen, cells taken and their rank sum
+e AS (SELECT 0 AS i, 0 AS k, 0 AS total, 1.0::DOUBLE AS ways UNION ALL SELECT i, k, total, sum(ways) AS ways FROM (SELECT i + 1 AS i, k + b AS k, total + b * (i + 1) AS total, ways FROM e, (VALUES (0), (1)) z(b) WHERE i < (SELECT coalesce(max(n1 + n2), 0) FROM w WHERE n1 < 50 AND n2 < 50 AND NOT ties) AND k + b < 50) GROUP BY i, k, total),
+x AS (SELECT pair, least(1, 2 * sum(ways) FILTER (CASE WHEN w > CAST(n1 AS DOUBLE) * n2 / 2 THEN total - n1 * (n1 + 1) / 2 >= w ELSE total - n1 * (n1 + 1) / 2 <= w END) / sum(ways)) AS p FROM w JOIN e ON e.i = n1 + n2 AND e.k = n1 WHERE n1 < 50 AND n2 < 50 AND NOT ties GROUP BY pair),
+z AS (SELECT *, abs((w - CAST(n1 AS DOUBLE) * n2 / 2 - sign(w - CAST(n1 AS DOUBLE) * n2 / 2) * 0.5) / sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * (n1 + n2 + 1 - tied / (CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1))))) AS z FROM w)
+SELECT z.pair, n1, n2, round(w, 1) AS w, round(coalesce(x.p, {_TAIL.format(z="z")}), 8) AS p_value FROM z LEFT JOIN x ON x.pair = z.pair""")
+def markers_wilcox_exact(spark, sf):
+    """Account balances of two segments within each nation: exact p-values under 50 cells a side without ties, else normal."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    k = F.col("c_custkey").cast("string").alias("barcode")
+    counts = c.select(F.lit("balance").alias("feature"), k, F.round(F.col("c_acctbal") + 1000, 2).cast("double").alias("value"))
+    grouped = c.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.col("c_nationkey").cast("string").alias("pair"), F.when(F.col("c_mktsegment") == "BUILDING", "seed").otherwise("query").alias("side"), F.lit("BUILDING").alias("seed"), F.lit("MACHINERY").alias("query"), k)
+    r = markers.rank_sum(counts, grouped, markers.metrics(counts, grouped, 1)).select("pair", "n1", "n2", "w", markers.rank_sum_p().alias("p_value"))
+    return rounded(rounded(r, "p_value", digits=8), "w", digits=1)
+
+
 @query(f"""WITH {CELLS}, {COUNTS} SELECT DISTINCT feature FROM counts JOIN cells USING (barcode) WHERE territory = 'BUILDING' INTERSECT SELECT feature FROM counts JOIN cells USING (barcode) WHERE territory <> 'BUILDING'""")
 def shared_signal(spark, sf):
     c = retail_counts(spark, sf).join(retail_cells(spark, sf).select("barcode", "territory"), "barcode")
@@ -331,7 +370,7 @@ def territory_summary(spark, sf):
 SELECT pair, feature, round(min(least(1, n / i * p)) OVER (PARTITION BY pair ORDER BY p DESC, feature DESC), 6) AS p_adj FROM n""")
 def bh_adjust(spark, sf):
     """The false discovery rate's adjustment of the same bounds as holm_adjust."""
-    r = markers.rank_sum(*_kept(spark, sf)).select("pair", "feature", F.least(F.lit(1.0), 2 * F.exp(-F.col("z") * F.col("z") / 2)).alias("p"))
+    r = markers.rank_sum_of_rest(*_kept(spark, sf)).select("pair", "feature", F.least(F.lit(1.0), 2 * F.exp(-F.col("z") * F.col("z") / 2)).alias("p"))
     return rounded(r.withColumn("p_adj", benjamini_hochberg("p", "pair", "feature")).drop("p"), "p_adj")
 
 
