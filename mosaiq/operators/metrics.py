@@ -26,25 +26,25 @@ def contribution(costs: DataFrame) -> DataFrame:
 
 
 def clusters(scores: DataFrame, nn: int = 30, h: float = 0.75, k: int | None = None, method: str = "hclust", resolution: float = 1.0) -> DataFrame:
-    """query, cluster by complete-linkage clustering cut at h of the range (or into k), or by louvain on
-    overlaps. The matrix of the chosen queries is clustered on the driver."""
+    """query, cluster by complete-linkage clustering cut at h of the range (or into k), for which the matrix of the chosen
+    queries is on the driver; or by louvain or leiden on overlaps, which are not."""
     import numpy as np
 
     spark = scores.sparkSession
+    if method in ("louvain", "leiden"):
+        from .communities import named
+
+        edges = top_overlap(scores, nn).select("a", "b", (1 - F.col("distance")).alias("w")).where("w > 0")
+        return named(edges, scores.select(F.col("query").alias("barcode")), resolution, method).select(F.col("barcode").alias("query"), F.col("label").alias("cluster"))
+    if method != "hclust":
+        raise ValueError(f"unknown clustering {method!r}: hclust, louvain, leiden")
     names = sorted(r[0] for r in scores.select("query").distinct().collect())
     at = {n: i for i, n in enumerate(names)}
     d = np.ones((len(names), len(names)))
     np.fill_diagonal(d, 0)
     for r in top_overlap(scores, nn).toLocalIterator():
         d[at[r["a"]], at[r["b"]]] = d[at[r["b"]], at[r["a"]]] = r["distance"]
-    if method == "hclust":
-        label = complete_linkage(d, (h * (d.max() - d.min())) + d.min(), k)
-    elif method in ("louvain", "leiden"):
-        from .segment import louvain
-
-        label = louvain(np.where(np.eye(len(names)) > 0, 0, 1 - d), resolution)
-    else:
-        raise ValueError(f"unknown clustering {method!r}: hclust, louvain, leiden")
+    label = complete_linkage(d, (h * (d.max() - d.min())) + d.min(), k)
     return spark.createDataFrame([(n, str(c + 1)) for n, c in zip(names, label, strict=True)], "query string, cluster string" if isinstance(names[0], str) else "query long, cluster string")
 
 

@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df by way of a reliable checkpoint in the folder that spark.checkpoint.dir names, so that loops have
-    short lineage and survive lost executors. Where it is unset a temporary folder does in one process;
-    executors of a cluster would not see it, so there RuntimeError is raised."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset a temporary folder does in one process; executors of
+    a cluster would not see it, so there RuntimeError is raised."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mosaiq-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="mosaiq-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, so that loops have short lineage and survive lost executors. A plain
+    checkpoint keeps the constraints of the plan before it, which double in each round of a loop of joins."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
