@@ -63,8 +63,9 @@ def merge_territories(matched: DataFrame, reference: DataFrame, label_matched: s
 
 
 def integrate_counts(matched: DataFrame, reference: DataFrame, n_features: int = 2000, dims: int = 30, method: str = "CCA") -> DataFrame:
-    """barcode, sample, vec: canonical directions of the two samples' cross-covariance over shared
-    variable features (whose number bounds what the driver decomposes), scaled to [0, 1]."""
+    """barcode, sample, vec, scaled to [0, 1]. CCA: canonical directions of the two samples' cross-covariance over shared
+    variable features (whose number bounds what the driver decomposes). HarmonyIntegration: principal components of both
+    samples together, corrected for the sample (harmony.correct)."""
     import numpy as np
 
     from .mapping import dense, shared_features
@@ -72,6 +73,14 @@ def integrate_counts(matched: DataFrame, reference: DataFrame, n_features: int =
 
     if method not in ("CCA", "CCAIntegration", "HarmonyIntegration"):
         raise ValueError(f"unknown method {method!r}")
+    if method == "HarmonyIntegration":
+        from .embed import generate_embeddings
+        from .harmony import correct
+
+        both = matched.unionByName(reference)
+        cells = matched.select("barcode").distinct().withColumn("batch", F.lit("matched")).unionByName(reference.select("barcode").distinct().withColumn("batch", F.lit("reference")))
+        latent = generate_embeddings(both, cells.select("barcode"), "PCA", "log_norm", dims, n_features)
+        return _scaled(correct(latent.join(cells, "barcode").select("barcode", "batch", "vec")).withColumnRenamed("batch", "sample"))
     a, b = log_norm(matched), log_norm(reference)
     shared = shared_features(a, b)
     top = variable_features(a.unionByName(b), max(2, a.select("barcode").distinct().count() + b.select("barcode").distinct().count()), n_features).select("feature").join(shared, "feature", "left_semi")
@@ -108,11 +117,16 @@ def integrate_counts(matched: DataFrame, reference: DataFrame, n_features: int =
         return run
 
     out = da.mapInPandas(project(ma, "matched"), "barcode string, sample string, vec array<double>").union(db.mapInPandas(project(mb, "reference"), "barcode string, sample string, vec array<double>"))
+    return _scaled(out)
+
+
+def _scaled(out: DataFrame) -> DataFrame:
+    """barcode, sample, vec with each dimension scaled to [0, 1]; a constant one stays."""
     ends = out.select(F.posexplode("vec").alias("i", "v")).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("e"))
     return out.crossJoin(F.broadcast(ends)).select("barcode", "sample", F.transform("vec", lambda v, i: F.when(F.col("e")[i]["hi"] > F.col("e")[i]["lo"], (v - F.col("e")[i]["lo"]) / (F.col("e")[i]["hi"] - F.col("e")[i]["lo"])).otherwise(v)).alias("vec"))
 
 
-def integrate_assays(mapped: DataFrame, mapped_counts: DataFrame, reference: DataFrame, reference_counts: DataFrame, n_features: int = 2000, dims: int = 30, label_mapped: str = "territory", label_reference: str = "territory") -> dict[str, DataFrame]:
+def integrate_assays(mapped: DataFrame, mapped_counts: DataFrame, reference: DataFrame, reference_counts: DataFrame, n_features: int = 2000, dims: int = 30, label_mapped: str = "territory", label_reference: str = "territory", method: str = "CCA") -> dict[str, DataFrame]:
     """coordinates, counts (matched barcodes prefixed by `m:`), embedding and territories of a mapped
     sample and its reference. mapped, reference: barcode, x, y and labels."""
     tag = lambda df: df.withColumn("barcode", F.concat(F.lit("m:"), "barcode"))
@@ -121,6 +135,6 @@ def integrate_assays(mapped: DataFrame, mapped_counts: DataFrame, reference: Dat
     return {
         "coordinates": merge_coordinates(m, reference),
         "counts": mc.unionByName(reference_counts),
-        "embedding": integrate_counts(mc, reference_counts, n_features, dims),
+        "embedding": integrate_counts(mc, reference_counts, n_features, dims, method),
         "territories": merge_territories(labels(m), labels(reference), label_mapped, label_reference),
     }

@@ -35,6 +35,51 @@ def variable_features(counts: DataFrame, n_cells: int, n_features: int = 2000) -
     return m.select("feature", "mean", "var").orderBy(F.desc("var"), "feature").limit(n_features).withColumn("rank", F.row_number().over(W.orderBy(F.desc("var"), "feature")))
 
 
+#: Places at which the curve of variances is fitted, and the share of the range of log means that a fit reaches.
+KNOTS, SPAN = 64, 0.3
+
+
+def variance_curve(m: DataFrame) -> DataFrame:
+    """m (feature, mean, var) with sd: the root of the variance expected at the feature's mean, by local quadratic
+    regression of log10 variance on log10 mean. The fits at KNOTS places are aggregates; features interpolate in log10."""
+    x = m.where("var > 0 and mean > 0").select(F.log10("mean").alias("x"), F.log10("var").alias("y"))
+    span = x.agg(F.min("x").alias("lo"), F.greatest(F.max("x") - F.min("x"), F.lit(1e-9)).alias("wide"))
+    pos = (F.col("x") - F.col("lo")) / F.col("wide") * (KNOTS - 1)
+    reach = SPAN * (KNOTS - 1)
+    near = F.sequence(F.greatest(F.lit(0), F.ceil(pos - reach)).cast("int"), F.least(F.lit(KNOTS - 1), F.floor(pos + reach)).cast("int"))
+    rows = x.crossJoin(F.broadcast(span)).withColumn("knot", F.explode(near)).withColumn("u", (pos - F.col("knot")) / reach).withColumn("k", F.pow(1 - F.pow(F.abs("u"), 3), 3)).where("k > 0")
+    s = rows.groupBy("knot").agg(*[F.sum(F.col("k") * F.pow("u", F.lit(p))).alias(f"u{p}") for p in range(5)], *[F.sum(F.col("k") * F.pow("u", F.lit(p)) * F.col("y")).alias(f"y{p}") for p in range(3)])
+    # the fit at the knot itself is the constant of the quadratic: Cramer's rule, a constant where features are too few
+    det = lambda a, b, c: a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+    u, y = [F.col(f"u{p}") for p in range(5)], [F.col(f"y{p}") for p in range(3)]
+    whole = det((u[0], u[1], u[2]), (u[1], u[2], u[3]), (u[2], u[3], u[4]))
+    fit = s.select("knot", F.when(whole > 1e-10 * F.pow(u[0], 3), det((y[0], u[1], u[2]), (y[1], u[2], u[3]), (y[2], u[3], u[4])) / whole).otherwise(y[0] / u[0]).alias("fit"))
+    curve = fit.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("knot", "fit")))).alias("curve")).crossJoin(span)
+    at = F.least(F.greatest((F.log10("mean") - F.col("lo")) / F.col("wide") * (KNOTS - 1), F.lit(0.0)), F.lit(KNOTS - 1.0))
+    low = F.least(F.floor("at"), F.lit(KNOTS - 2)).cast("int")
+    knot = lambda i: F.element_at("curve", i)
+    between = knot(low) + (F.col("at") - low) * (F.coalesce(knot(low + 1), knot(low)) - knot(low))
+    return m.crossJoin(F.broadcast(curve)).withColumn("at", at).withColumn("sd", F.when((F.col("var") > 0) & (F.col("mean") > 0), F.sqrt(F.pow(F.lit(10.0), between)))).drop("at", "curve", "lo", "wide")
+
+
+def clipped_variance(counts: DataFrame, m: DataFrame, n_cells: int) -> DataFrame:
+    """feature, variance of standardised counts ((value - mean) / sd, at most the root of the number of cells). m: feature,
+    mean, sd. Zeros all have one value, so they are counted, not listed; a feature without sd has variance 0."""
+    top = float(n_cells) ** 0.5
+    z = F.least((F.col("value") - F.col("mean")) / F.col("sd"), F.lit(top))
+    s = counts.where("value <> 0").join(m.where("sd > 0").select("feature", "mean", "sd"), "feature").groupBy("feature", "mean", "sd").agg(F.sum(z * z).alias("q"), F.count("*").alias("nnz"))
+    zero = F.col("mean") / F.col("sd")
+    found = s.select("feature", ((F.col("q") + (n_cells - F.col("nnz")) * zero * zero) / (n_cells - 1)).alias("v"))
+    return m.select("feature").join(found, "feature", "left").select("feature", F.coalesce("v", F.lit(0.0)).alias("variance"))
+
+
+def stabilised_features(counts: DataFrame, n_cells: int, n_features: int = 2000) -> DataFrame:
+    """The features of largest standardised variance: feature, mean, var, variance, rank (ties by name)."""
+    m = variance_curve(moments(counts.withColumn("value", F.col("value").cast("double")), n_cells).select("feature", "mean", "var"))
+    out = m.join(clipped_variance(counts, m, n_cells), "feature").select("feature", "mean", "var", "variance")
+    return out.orderBy(F.desc("variance"), "feature").limit(n_features).withColumn("rank", F.row_number().over(W.orderBy(F.desc("variance"), "feature")))
+
+
 def tfidf(counts: DataFrame, scale: float = 1e4) -> DataFrame:
     """log1p(tf * idf * scale): tf is the share of the cell's total, idf cells over cells with the feature."""
     n = counts.select("barcode").distinct().agg(F.count("*").alias("n"))

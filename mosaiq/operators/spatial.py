@@ -76,13 +76,8 @@ def knn_graph(embeddings: DataFrame, k: int = 20) -> DataFrame:
     return nearest_vectors(embeddings, embeddings, k)
 
 
-def nearest_vectors(queries: DataFrame, points: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    n = max(1, -(-points.count() // block))
-    m = max(1, -(-queries.count() // block))
-    kind = queries.schema["barcode"].dataType.simpleString()
-
-    def packed(df: DataFrame, parts: int, name: str) -> DataFrame:
-        return df.select("barcode", "vec").groupBy(F.pmod(F.xxhash64("barcode"), F.lit(parts)).alias(f"{name}b")).agg(F.collect_list(F.struct("barcode", "vec")).alias(name))
+def closest(k: int):
+    """Of rows with packs q and p (arrays of barcode, vec): the k points of p nearest to each of q, by blocks of queries."""
 
     def best(frames):
         import numpy as np
@@ -99,8 +94,19 @@ def nearest_vectors(queries: DataFrame, points: DataFrame, k: int, block: int =
                     at = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :k]
                     yield pd.DataFrame({"center": np.repeat(names[i : i + 256], at.shape[1]), "neighbor": seeds[at.ravel()], "dist": np.take_along_axis(d, at, 1).ravel()})
 
+    return best
+
+
+def nearest_vectors(queries: DataFrame, points: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    n = max(1, -(-points.count() // block))
+    m = max(1, -(-queries.count() // block))
+    kind = queries.schema["barcode"].dataType.simpleString()
+
+    def packed(df: DataFrame, parts: int, name: str) -> DataFrame:
+        return df.select("barcode", "vec").groupBy(F.pmod(F.xxhash64("barcode"), F.lit(parts)).alias(f"{name}b")).agg(F.collect_list(F.struct("barcode", "vec")).alias(name))
+
     pairs = packed(queries, m, "q").crossJoin(packed(points, n, "p")).repartition(m * n)
-    some = pairs.select("q", "p").mapInPandas(best, f"center {kind}, neighbor {kind}, dist double")
+    some = pairs.select("q", "p").mapInPandas(closest(k), f"center {kind}, neighbor {kind}, dist double")
     return some.withColumn("rank", F.row_number().over(W.partitionBy("center").orderBy(F.round("dist", 12), "neighbor"))).where(F.col("rank") <= k)
 
 

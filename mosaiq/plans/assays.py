@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import embed, integrate, normalize, segment, spatial, tiling
+from ..operators import ann, embed, integrate, normalize, segment, spatial, tiling
 from ..sources.bindings import CELLS, COUNTS, LATENT, POINTS, TERMS, events_points, latent_assay, retail_cells, retail_counts, term_counts
 from .registry import query, rounded
 
@@ -65,6 +65,21 @@ def hvg_variance(spark, sf):
     return out.select("feature", F.round("mean", 6).alias("mean"), F.round("var", 5).alias("var"), "rank")
 
 
+@query(f"""WITH {TERMS}, n AS (SELECT count(*) AS n FROM documents), m AS (SELECT feature, sum(value) / any_value(n) AS mean, count(*) AS nnz, any_value(n) AS n FROM terms, n GROUP BY feature)
+SELECT feature, round((sum(power(least((value - mean) / sqrt(mean), sqrt(n)), 2)) + (any_value(n) - any_value(nnz)) * any_value(mean)) / (any_value(n) - 1), 6) AS variance FROM terms JOIN m USING (feature) GROUP BY feature""")
+def clipped_variance(spark, sf):
+    """Variance of words' standardised, clipped counts around a given curve, that of Poisson counts."""
+    c, n = term_counts(spark, sf), spark.read.parquet(f"{sf}/documents.parquet").count()
+    m = normalize.moments(c, n).select("feature", "mean", F.sqrt("mean").alias("sd"))
+    return rounded(normalize.clipped_variance(c, m, n), "variance")
+
+
+@query()
+def stabilised_features(spark, sf):
+    """The hundred words of largest standardised variance: the count is the operator's own parameter."""
+    return normalize.stabilised_features(term_counts(spark, sf), spark.read.parquet(f"{sf}/documents.parquet").count(), 100)
+
+
 @query(f"""WITH {TERMS}, d AS (SELECT feature, count(*) AS df FROM terms GROUP BY 1)
 SELECT feature, barcode, round(ln(1 + value / sum(value) OVER (PARTITION BY barcode) * (SELECT count(DISTINCT barcode) FROM terms) / df * 10000), 6) AS value FROM terms JOIN d USING (feature)""")
 def tfidf(spark, sf):
@@ -242,6 +257,22 @@ def integrate_counts(spark, sf):
     return integrate.integrate_counts(c, c.withColumn("barcode", F.concat(F.lit("r"), "barcode")), 20, 5)
 
 
+@query()
+def integrate_harmony(spark, sf):
+    """Customers of even and odd nations as two samples."""
+    c = retail_counts(spark, sf).join(retail_cells(spark, sf).select("barcode", "cell_type"), "barcode")
+    part = lambda k: c.where(F.col("cell_type") % 2 == k).drop("cell_type")
+    return integrate.integrate_counts(part(0), part(1), 20, 5, "HarmonyIntegration")
+
+
+@query("SELECT count(*) AS n_queries, true AS enough FROM embeddings")
+def knn_lists_recall(spark, sf):
+    """Whether inverted lists find 95 of 100 of each vector's ten nearest vectors, against the exact join."""
+    v = latent_assay(spark, sf).select("barcode", "vec")
+    r = ann.recall(ann.nearest(v, v, 10), spatial.nearest_vectors(v, v, 10))
+    return r.select("n_queries", (F.col("recall") >= 0.95).alias("enough"))
+
+
 @query()
 def louvain_superpixels(spark, sf):
     a = latent_assay(spark, sf)
