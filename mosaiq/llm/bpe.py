@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo, slices, tokenizer_path
+from .common import Memo, mapped, slices, tokenizer_path
 
 _KINDS = {
     "n_tokens": (T.LongType(), pa.int64()),
@@ -231,4 +231,4 @@ def bpe_encode(
                 arrays = [part.column(i) for i in range(len(keep))] + [pa.array(made[c](), _KINDS[c][1]) for c in emit]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *emit])
 
-    return narrow.mapInArrow(run, schema)
+    return mapped(narrow, run, schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, mapped
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +46,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """links: two long columns; nulls and loops are left out, repeated links count once. Returns node
     and root, the smallest node of its component, for each node that isn't a root itself."""
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col(a) != F.col(b)))
-    e = checkpointed(pairs.mapInArrow(_contract, "u long, v long").distinct())
+    e = checkpointed(mapped(pairs, _contract, "u long, v long").distinct())
     seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
     for _ in range(rounds):
         if not seen[0]:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Memo, mix, slices
+from .common import Memo, mapped, mix, slices
 
 #: Items of so many words have windows and may be edited.
 WINDOWED = 5
@@ -246,7 +246,7 @@ def contaminated(docs: DataFrame, items: DataFrame, keep: list[str], text: str =
                     flat = [x for some in found for x in some]
                     yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in range(len(keep))] + [pa.array([x[i] for x in flat], kinds[i]) for i in range(4)], names=[*keep, *names])
 
-        return narrow.mapInArrow(run, schema)
+        return mapped(narrow, run, schema)
 
     out = None
     for sent in _blocks(docs, items, item_id, item_text, tolerance, recall):
@@ -264,5 +264,5 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
                 for part, texts in slices(batch, text):
                     yield part.filter(pa.array([not x for x in sent.value.find(texts, least)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs

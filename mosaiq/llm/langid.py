@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import mapped, slices
 
 UND = "und"
 #: Documents that a model learns from at most, those of the smallest hashed ids; it bounds what reaches the driver.
@@ -256,4 +256,4 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
                 arrays = [part.column(i) for i in range(len(keep))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())] + ([pa.array(found, arrow)] if spans else [])
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+    return mapped(docs.select(*keep, docs[text].alias("__text")), run, schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, mix, shingles, slices, written
+from .common import Memo, mapped, mix, shingles, slices, written
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, ORDERS = 20, 5, 4
@@ -61,7 +61,7 @@ def sets(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
                 )
 
     kind = docs.schema[by].dataType.simpleString()
-    return docs.select(F.col(by).alias("__by"), F.col(text).alias("__text")).mapInArrow(run, f"__by {kind}, s long, bands array<long>, items binary")
+    return mapped(docs.select(F.col(by).alias("__by"), F.col(text).alias("__text")), run, f"__by {kind}, s long, bands array<long>, items binary")
 
 
 def links(table: DataFrame, least: float = LEAST) -> DataFrame:
@@ -80,4 +80,4 @@ def links(table: DataFrame, least: float = LEAST) -> DataFrame:
             near = [jaccard(np.frombuffer(p.as_py(), np.uint32), np.frombuffer(q.as_py(), np.uint32)) >= least for p, q in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return mapped(both, run, "a long, b long")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_CHARS, Memo, mix, slices, written
+from .common import SLICE_CHARS, Memo, mapped, mix, slices, written
 
 GRAM, WINDOW, MIN_WORDS = 30, 22, 30
 _SIDE = WINDOW - 1
@@ -117,7 +117,7 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
                 repeats = [len(a) < len(b) for a, b in zip(once, every, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(once, pa.list_(pa.int64())), pa.array(repeats)], names=["o", "fp", "repeats"])
 
-    return docs.select(_key().alias("o"), "text").mapInArrow(run, "o long, fp array<long>, repeats boolean")
+    return mapped(docs.select(_key().alias("o"), "text"), run, "o long, fp array<long>, repeats boolean")
 
 
 def _runs_of_rows(col: pa.Array, rows: np.ndarray) -> Iterator[tuple[list[int], list[str]]]:
@@ -216,7 +216,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     # one exchange of the texts serves both joins, as both take all of its columns
     keyed = docs.select(*names, _key().alias("__o"))
     sources = keyed.join(wanted, F.col("__o") == F.col("m")).select(*names, "want", "__o")
-    contexts = sources.mapInArrow(_contexts(place), "h long, near array<int>, m long")
+    contexts = mapped(sources, _contexts(place), "h long, near array<int>, m long")
     # a join of two exchanges alone, so that a fingerprint of very many documents can be split
     seeds = each.join(contexts, "h").where("o > m").select("o", F.struct("h", "near").alias("s"))
     found = seeds.union(table.where("repeats").select("o", F.lit(None).cast(seeds.schema["s"].dataType).alias("s"))).groupBy("o").agg(F.collect_list("s").alias("__seeds"))
@@ -240,4 +240,4 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
             text = pc.replace_with_mask(col, pa.array(changed), pa.array(new, pa.string())) if new else col
             yield pa.RecordBatch.from_arrays([*(batch.column(j) if j != place else text for j in range(len(names))), pa.array(removed)], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return mapped(joined, run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import mapped, written
 from .components import components, roots
 
 #: Fingerprints with one home that plain pairs are made of; beyond it blocks are used.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", n: int =
             fp = np.fromiter((fingerprint(t.as_py(), n) for t in batch.column(len(keep))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fp.view(np.int64))], names=schema.names)
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+    return mapped(docs.select(*keep, docs[text].alias("__text")), run, schema)
 
 
 def _syndrome(half: np.ndarray) -> np.ndarray:
@@ -105,7 +105,7 @@ def _replicated(distinct: DataFrame, homes_only: bool) -> DataFrame:
                     key, of = key[home], of[home]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[of])], names=["key", "fp"])
 
-    return distinct.select("fp").mapInArrow(run, "key long, fp long")
+    return mapped(distinct.select("fp"), run, "key long, fp long")
 
 
 def forest(home: np.ndarray, replica: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
