@@ -225,13 +225,17 @@ class Labeller:
             # one language: from the first letter to the last
             return [{"start": _words.search(text).start(), "end": len(text) - _words.search(text[::-1]).start(), "lang": names[path[0]]}]
         out: list[dict] = []
-        # the lower case of some letters has more code points, but as many words
-        own = (w for w in _words.finditer(text) if (x := w[0]).isalpha() or any(map(str.isalpha, x)))
-        for w, k in zip(own, path, strict=False):
-            if out and out[-1]["lang"] == names[k]:
+        # labels belong to the words of the lower-case text; lowering can cut a word (the dot of an I with one is no letter)
+        at = 0
+        for w in _words.finditer(text):
+            n = 1 if w[0].isascii() and any(map(str.isalpha, w[0])) else len(words_of(w[0]))
+            if not n:
+                continue
+            name, at = names[path[at]], at + n
+            if out and out[-1]["lang"] == name:
                 out[-1]["end"] = w.end()
             else:
-                out.append({"start": w.start(), "end": w.end(), "lang": names[k]})
+                out.append({"start": w.start(), "end": w.end(), "lang": name})
         return out
 
 

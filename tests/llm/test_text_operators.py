@@ -711,3 +711,16 @@ def test_memo_forgets():
     assert [m[x] for x in ("a", "bb", "ccc")] == [1, 2, 3]
     m.trim()
     assert not m
+
+
+def test_spans_follow_the_labelled_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs, F.lit(True))
+    by = {r["lang"]: r["text"] for r in docs.where("lang is not null and length(text) > 400").orderBy("doc_id").collect()}
+    en, de = by["en"][:300], by["de"][:300]
+    for odd in ("", "\u0130\u0130\u0130\u0130 " * 6, "\u0149a \u00df\u00df e\u0301e\u0301 " * 5):
+        text = odd + en + " " + de
+        found = langid.Labeller(model)([text], True)[2][0]
+        assert all(x["start"] < x["end"] for x in found) and all(x["end"] <= y["start"] for x, y in zip(found, found[1:], strict=False))
+        last = found[-1]
+        assert last["lang"] == "de" and abs(last["start"] - len(odd) - 300) < 60 and last["end"] > len(text) - 20
