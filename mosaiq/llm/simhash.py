@@ -156,8 +156,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", by: str = "doc_id", n:
     rows = written(fingerprints(docs, [by], text, n))
     root = components(links(rows, bits))
     each = rows.groupBy("fp").agg(F.min(by).alias("least"))
-    named = each.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(each.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # written, so that the join has two plain exchanges, which are split where a component has very many fingerprints
+    whole = written(named.groupBy("root").agg(F.min("least").alias("component_id")))
     return rows.join(named.join(whole, "root").select("fp", "component_id"), "fp")
 
 
