@@ -120,6 +120,37 @@ class SpatialAssay:
             raise ValueError(f"no counts {kind!r}: {', '.join(self.counts)}")
         return self.counts[kind if kind in self.counts else hits[0]]
 
+    def counts_for(self, method: str | None = None, norm_method: str = "last") -> DataFrame:
+        """The layer that a test works on: the active one (last) or that of a name; models of counts (DESeq2, QLF, LRT) take
+        raw counts whatever is asked for. No such layer: ValueError."""
+        if not self.counts:
+            raise ValueError("the assay has no counts")
+        name = self.active_counts if norm_method == "last" else norm_method
+        if name not in self.counts:
+            raise ValueError(f"no counts {name!r}: {', '.join(self.counts)}")
+        if {"DEseq2": "DESeq2"}.get(method, method) in ("DESeq2", "QLF", "LRT"):
+            if "raw" not in self.counts:
+                raise ValueError(f"{method} needs raw counts")
+            name = "raw"
+        return self.counts[name]
+
+    def identify_markers(self, seed=None, query=None, method: str = "wilcox", norm_method: str = "last", trial: str = "last", **options) -> SpatialAssay:
+        """With markers of the trial's territories as a trial of deg (operators.markers)."""
+        from .operators.markers import identify_markers
+
+        cells = self.trial(trial).where("label is not null").select("barcode", F.col("label").alias("territory"))
+        return self.with_markers(identify_markers(self.counts_for(method, norm_method), cells, seed, query, method, **options))
+
+    def generate_embeddings(self, dim_reduction: str = "PCA", normalization: str = "log_norm", use_counts: str = "raw", **options) -> SpatialAssay:
+        """With an embedding trial of the layer use_counts. Layers other than raw are taken as they are: their normalisation is
+        none, whatever is asked for."""
+        from .operators.embed import generate_embeddings
+
+        if use_counts not in self.counts:
+            raise ValueError(f"no counts {use_counts!r}: {', '.join(self.counts)}")
+        norm = normalization if use_counts == "raw" else "none"
+        return self.add_embeddings(generate_embeddings(self.counts[use_counts], self.cells, dim_reduction, norm, **options), dim_reduction)
+
     def get_coordinates(self, original: bool = False) -> DataFrame:
         return self.cells.select("barcode", F.col("x_orig").alias("x"), F.col("y_orig").alias("y")) if original else self.cells.select("barcode", "x", "y")
 

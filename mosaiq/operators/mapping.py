@@ -108,6 +108,13 @@ def niche_signal(counts: DataFrame, near: DataFrame) -> DataFrame:
     return counts.join(sized, F.col("barcode") == F.col("neighbor")).groupBy("feature", F.col("center").alias("barcode")).agg((F.sum("value") / F.first("n")).alias("value"))
 
 
+def embedding_signal(v: DataFrame, dims: list[int] | None = None) -> DataFrame:
+    """feature, barcode, value of embeddings (barcode, vec): a feature for each dimension (from 1), or for those of dims."""
+    long = v.select("barcode", F.posexplode("vec").alias("i", "value")).withColumn("i", F.col("i") + 1)
+    long = long.where(F.col("i").isin(dims)) if dims else long
+    return long.select(F.format_string("dim_%05d", "i").alias("feature"), "barcode", F.col("value").cast("double").alias("value"))
+
+
 def territory_signal(counts: DataFrame, cells: DataFrame) -> DataFrame:
     """territory, feature, value: the mean over a territory's cells; its cells share it, so none of the
     pairs of cells is made."""
@@ -134,11 +141,17 @@ def cell_type_match(query: DataFrame, seed: DataFrame) -> DataFrame:
     return query.select(F.col("barcode").alias("query"), "cell_type").join(seed.select(F.col("barcode").alias("seed"), "cell_type"), "cell_type").select("query", "seed", F.lit(1.0).alias("score"))
 
 
-def filter_cost(costs: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """costs (kind, query, seed, score) of those queries whose best score of every kind is above the
-    threshold; an error if none is."""
+def filter_cost(costs: DataFrame, threshold: float = 0.3, filter_cells: bool = True) -> DataFrame:
+    """costs (kind, query, seed, score) of those queries whose best score of every kind is above the threshold; an error if
+    none is. A kind that a query has no row of has best score 0. filter_cells: of cell_type a query needs any match,
+    whatever the threshold."""
     kinds = costs.select("kind").distinct().count()
-    good = costs.groupBy("query", "kind").agg(F.max("score").alias("m")).where(F.col("m") > threshold).groupBy("query").agg(F.count("*").alias("k")).where(F.col("k") == kinds).select("query")
+    bound = F.when(F.col("kind") == "cell_type", 0.0).otherwise(float(threshold)) if filter_cells else F.lit(float(threshold))
+    best = costs.groupBy("query", "kind").agg(F.max("score").alias("m")).groupBy("query").agg(F.count("*").alias("have"), F.count(F.when(F.col("m") > bound, 1)).alias("k"), F.max((F.col("kind") == "cell_type").cast("int")).alias("matched"))
+    absent = F.lit(kinds) - F.col("have")
+    if filter_cells and threshold < 0 and not costs.where("kind = 'cell_type'").isEmpty():
+        absent = absent - (1 - F.col("matched"))  # no row of cell types is no match
+    good = best.where(F.col("k") + (absent if threshold < 0 else F.lit(0)) == kinds).select("query")
     if good.isEmpty():
         raise ValueError(f"no cell has scores above {threshold} of every kind")
     return costs.join(good, "query", "left_semi")
@@ -247,8 +260,13 @@ def align(matches: DataFrame, seed_cells: DataFrame, jitter: float = 0) -> DataF
     return out.select(name.alias("barcode"), move("x", 1).alias("x"), move("y", 2).alias("y"), "from", "to")
 
 
-def map_assays(seed_cells: DataFrame, seed_counts: DataFrame, query_cells: DataFrame, query_counts: DataFrame, use_cost=("feature", "niche"), method: str = "pearson", neighborhood: str = "knn", k: int = 20, radius: float = 20, depth: int = 1, batch_size: int = 1000, epochs: int = 1, allow_duplicates: bool = True, threshold: float = 0.3, scale: bool = False, custom: DataFrame | None = None, features: DataFrame | None = None, digits: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(matches with scores, costs). custom: further scores (kind, query, seed, score)."""
+def map_assays(seed_cells: DataFrame, seed_counts: DataFrame, query_cells: DataFrame, query_counts: DataFrame, use_cost=("feature", "niche"), method: str = "pearson", neighborhood: str = "knn", k: int = 20, radius: float = 20, depth: int = 1, batch_size: int = 1000, epochs: int = 1, allow_duplicates: bool = True, threshold: float = 0.3, scale: bool = False, custom: DataFrame | None = None, features: DataFrame | None = None, digits: int = 5, signal: str = "counts", dims: list[int] | None = None, filter_cells: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(matches with scores, costs). custom: further scores (kind, query, seed, score). signal: `counts`, or `embeddings`,
+    where seed_counts and query_counts are embeddings (barcode, vec) whose dimensions (dims) are the features."""
+    if signal not in ("counts", "embeddings"):
+        raise ValueError(f"unknown signal {signal!r}: counts, embeddings")
+    if signal == "embeddings":
+        seed_counts, query_counts = (cut(embedding_signal(v, dims)) for v in (seed_counts, query_counts))
     known = {r[0] for r in custom.select("kind").distinct().collect()} if custom is not None else set()
     if lost := set(use_cost) - set(COSTS) - known:
         raise ValueError(f"unknown cost {sorted(lost)}: {', '.join(COSTS)}")
@@ -273,7 +291,7 @@ def map_assays(seed_cells: DataFrame, seed_counts: DataFrame, query_cells: DataF
     frames = [d.withColumn("kind", F.lit(n)).select("kind", "query", "seed", "score") for n, d in parts]
     if custom is not None:
         frames.append(custom.where(F.col("kind").isin([c for c in use_cost if c in known])).select("kind", "query", "seed", "score"))
-    costs = cut(filter_cost(cut(reduce(DataFrame.union, frames)), threshold))
+    costs = cut(filter_cost(cut(reduce(DataFrame.union, frames)), threshold, filter_cells))
     full = {"feature", "niche", "territory"} & set(use_cost)
     rest = {} if full else {"missing": float(len(set(use_cost))), "seeds": seed_cells.select(F.col("barcode").alias("seed"))}
     found = assign_cells(total_cost(costs), batch_size, epochs, **rest)

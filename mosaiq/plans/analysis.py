@@ -196,6 +196,14 @@ def radius_niche(spark, sf):
     return rounded(mapping.niche_signal(retail_counts(spark, sf), mapping.neighborhoods(retail_cells(spark, sf), "radius", radius=1.5)), "value")
 
 
+@query(f"""WITH {LATENT}, p AS (SELECT a.barcode AS center, b.vec AS vec, count(*) OVER (PARTITION BY a.barcode) AS n FROM latent a JOIN latent b ON sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 1.5)
+SELECT 'dim_' || lpad(CAST(i AS VARCHAR), 5, '0') AS feature, center AS barcode, round(sum(v) / any_value(n), 6) AS value FROM (SELECT center, n, unnest(vec) AS v, unnest(range(1, len(vec) + 1)) AS i FROM p) GROUP BY i, center""")
+def embedding_niche(spark, sf):
+    """Embeddings as the signal of neighbourhoods: means of each dimension over the cells around."""
+    a = latent_assay(spark, sf)
+    return rounded(mapping.niche_signal(mapping.embedding_signal(a), mapping.neighborhoods(a, "radius", radius=1.5)), "value")
+
+
 @query(f"""WITH {CELLS}, {COUNTS} SELECT territory, feature, round(sum(value) / any_value(n), 6) AS value FROM counts JOIN cells USING (barcode) JOIN (SELECT territory, count(*) AS n FROM cells GROUP BY 1) USING (territory) GROUP BY ALL""")
 def territory_niche(spark, sf):
     return rounded(mapping.territory_signal(retail_counts(spark, sf), retail_cells(spark, sf)), "value")
