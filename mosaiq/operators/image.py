@@ -1,6 +1,6 @@
 """Embedding dimensions as raster images: pixels (dim, x, y, value), filters on them, and back.
 
-Filters over neighbourhoods run for one image in one task, in numpy; the box blur also as windows.
+Filters over neighbourhoods run on tiles with halos, in numpy, so that no task holds an image; the box blur also as windows.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def to_pixels(values: DataFrame, tiles: DataFrame) -> DataFrame:
     """dim, x, y, value for the whole raster: values (barcode, dim, value) at their tiles' pixels, all
@@ -85,20 +87,50 @@ def box_blur(pixels: DataFrame, half: int) -> DataFrame:
     return pixels.withColumn("value", F.avg("value").over(row)).withColumn("value", F.avg("value").over(col))
 
 
-def _per_image(pixels: DataFrame, kernel) -> DataFrame:
+#: The side of a tile, without its halo.
+TILE = 256
+
+
+def _per_tile(pixels: DataFrame, kernel, halo: int, tile: int | None = None, also: tuple = ()) -> DataFrame:
+    """dim, x, y, value of `kernel` on each tile with `halo` pixels around it, which it must not reach beyond: the tiles' values
+    are those of the whole image. Images are full rasters from 1, 1. The kernel gets the value and the columns `also` as arrays; what
+    isn't there is 0."""
+    side = tile or TILE
+
     def run(f):
         import numpy as np
 
-        f = f.sort_values(["x", "y"])
-        a = np.zeros((int(f["x"].max()), int(f["y"].max())))
-        a[f["x"].to_numpy(int) - 1, f["y"].to_numpy(int) - 1] = f["value"]
-        out = kernel(a)
-        return f.assign(value=out[f["x"].to_numpy(int) - 1, f["y"].to_numpy(int) - 1])[["dim", "x", "y", "value"]]
-
-    return pixels.select("dim", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "value").groupBy("dim").applyInPandas(run, "dim int, x int, y int, value double")
+        tx, ty = int(f["tx"].iloc[0]), int(f["ty"].iloc[0])
+        x0, y0 = max(1, tx * side + 1 - halo), max(1, ty * side + 1 - halo)
+        x, y = f["x"].to_numpy(int) - x0, f["y"].to_numpy(int) - y0
+        arrays = []
+        for c in ("value", *also):
+            a = np.zeros((int(x.max()) + 1, int(y.max()) + 1))
+            a[x, y] = f[c]
+            arrays.append(a)
+        own = ((x + x0 - 1) // side == tx) & ((y + y0 - 1) // side == ty)
+        if not own.any():
+            return f.loc[own, ["dim", "x", "y", "value", *also]]
+        return f.loc[own, ["dim", "x", "y", "value", *also]].assign(value=kernel(*arrays)[x[own], y[own]])
+
+    def tiles(c: str) -> Column:
+        lo, hi = F.floor((F.col(c) - 1 - halo) / side), F.floor((F.col(c) - 1 + halo) / side)
+        return F.explode(F.sequence(F.greatest(F.lit(0), lo).cast("int"), hi.cast("int")))
+
+    cast = pixels.select("dim", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "value", *also)
+    cast = cast.withColumn("tx", tiles("x")).withColumn("ty", tiles("y"))
+    return cast.groupBy("dim", "tx", "ty").applyInPandas(run, "dim int, x int, y int, value double" + "".join(f", {c} double" for c in also))
+
+
+def _to_unit(pixels: DataFrame) -> DataFrame:
+    """Each image scaled to [0, 1]; constant ones stay."""
+    pixels = cut(pixels)
+    r = pixels.groupBy("dim").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    v = F.when(F.col("hi") > F.col("lo"), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("value"))
+    return pixels.join(F.broadcast(r), "dim").select("dim", "x", "y", v.alias("value"))
 
 
-def smooth(pixels: DataFrame, method: str = "iso", iterations: int = 1, sigma: float | list = 1, box: int | list = 20, across: str = "min", threshold: float = 0) -> DataFrame:
+def smooth(pixels: DataFrame, method: str = "iso", iterations: int = 1, sigma: float | list = 1, box: int | list = 20, across: str = "min", threshold: float = 0, tile: int | None = None) -> DataFrame:
     """iso (Gaussian of sigma), median (differences above threshold only) or box (mean) blur; several
     sizes are joined by min, max or mean; even iterations work on the image turned by 180 degrees."""
     import numpy as np
@@ -134,44 +166,58 @@ def smooth(pixels: DataFrame, method: str = "iso", iterations: int = 1, sigma: f
             a = np.rot90(out, 2) if i % 2 else out
         return a
 
-    return _per_image(pixels, kernel)
+    reach = max(max(1, int(np.ceil(3 * s)) if method == "iso" else int(s) // 2) for s in sizes)
+    return _per_tile(pixels, kernel, reach * iterations, tile)
+
 
+#: Steps of the denoising between two exchanges of borders: also the halo's width.
+STEPS = 64
 
-def regularise(pixels: DataFrame, weight: float = 1, iterations: int = 100) -> DataFrame:
-    """Total-variation denoising by gradient descent, then scaled to [0, 1]."""
+
+def regularise(pixels: DataFrame, weight: float = 1, iterations: int = 100, tile: int | None = None) -> DataFrame:
+    """Total-variation denoising by gradient descent, then scaled to [0, 1]. A step reaches one pixel, so tiles take STEPS
+    steps with a halo as wide before they exchange their borders."""
     if weight <= 0 or iterations < 1:
         raise ValueError("weight must be positive and iterations 1 or more")
     import numpy as np
 
-    def kernel(f):
-        u = f.copy()
-        for _ in range(iterations):
-            dx, dy = np.diff(u, axis=0, append=u[-1:]), np.diff(u, axis=1, append=u[:, -1:])
-            norm = np.sqrt(dx * dx + dy * dy + 1e-4)
-            px, py = dx / norm, dy / norm
-            div = px - np.roll(px, 1, 0) + py - np.roll(py, 1, 1)
-            div[0] += np.roll(px, 1, 0)[0]
-            div[:, 0] += np.roll(py, 1, 1)[:, 0]
-            u = u + 0.1 * (weight * (f - u) + 0.1 * div)
-        lo, hi = u.min(), u.max()
-        return (u - lo) / (hi - lo) if hi > lo else u
-
-    return _per_image(pixels, kernel)
-
-
-def screened_poisson(pixels: DataFrame, weight: float = 0.1) -> DataFrame:
-    """Solves (weight - laplacian) u = - laplacian f by a Fourier transform of the mirrored image."""
+    def descent(steps: int):
+        def kernel(u, f):
+            for _ in range(steps):
+                dx, dy = np.diff(u, axis=0, append=u[-1:]), np.diff(u, axis=1, append=u[:, -1:])
+                norm = np.sqrt(dx * dx + dy * dy + 1e-4)
+                px, py = dx / norm, dy / norm
+                div = px - np.roll(px, 1, 0) + py - np.roll(py, 1, 1)
+                div[0] += np.roll(px, 1, 0)[0]
+                div[:, 0] += np.roll(py, 1, 1)[:, 0]
+                u = u + 0.1 * (weight * (f - u) + 0.1 * div)
+            return u
+
+        return kernel
+
+    now = pixels.withColumn("given", F.col("value").cast("double"))
+    for done in range(0, iterations, STEPS):
+        steps = min(STEPS, iterations - done)
+        now = _per_tile(now if not done else cut(now), descent(steps), steps, tile, ("given",))
+    return _to_unit(now.select("dim", "x", "y", "value"))
+
+
+def screened_poisson(pixels: DataFrame, weight: float = 0.1, tile: int | None = None) -> DataFrame:
+    """Solves (weight - laplacian) u = - laplacian f by a Fourier transform of the mirrored image, then scales it to [0, 1]. What
+    a pixel adds falls by exp(-root(weight)) a pixel, so tiles with a halo of 30 / root(weight) pixels give the whole
+    image's values to some 12 digits; a task's memory grows with the halo."""
+    if weight <= 0:
+        raise ValueError("weight must be positive")
     import numpy as np
 
     def kernel(f):
         m = np.block([[f, f[:, ::-1]], [f[::-1], f[::-1, ::-1]]])
         wx, wy = 2 - 2 * np.cos(2 * np.pi * np.fft.fftfreq(m.shape[0])), 2 - 2 * np.cos(2 * np.pi * np.fft.fftfreq(m.shape[1]))
         lap = wx[:, None] + wy[None, :]
-        u = np.fft.ifft2(np.fft.fft2(m) * lap / (lap + weight)).real[: f.shape[0], : f.shape[1]]
-        lo, hi = u.min(), u.max()
-        return (u - lo) / (hi - lo) if hi > lo else u
+        return np.fft.ifft2(np.fft.fft2(m) * lap / (lap + weight)).real[: f.shape[0], : f.shape[1]]
 
-    return _per_image(pixels, kernel)
+    rate = float(np.arccosh(1 + weight / 2))
+    return _to_unit(_per_tile(pixels, kernel, int(np.ceil(30 / rate)), tile))
 
 
 def edges(pixels: DataFrame) -> DataFrame:

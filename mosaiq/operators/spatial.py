@@ -126,6 +126,32 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
+def spread(cells: DataFrame, radius: float, seed: int = 1) -> DataFrame:
+    """barcode, x, y of centres more than radius apart such that no cell is farther than radius from one: a maximal
+    independent set of the radius graph, by rounds in which cells with the least hash around them become centres and
+    cells near them go. Only the least cell of each square of side radius / 2 stands in a round, so that a cell meets 25
+    others at most, however dense the cells are."""
+    if radius <= 0:
+        raise ValueError("radius must be positive")
+    side = radius / 2
+    square = {"gx": F.floor(F.col("x") / side), "gy": F.floor(F.col("y") / side)}
+    left = cut(cells.select("barcode", "x", "y").withColumns({**square, "p": F.struct(F.xxhash64("barcode", F.lit(seed)).alias("h"), "barcode")}))
+    step, centers = F.sequence(F.lit(-2), F.lit(2)), None
+
+    def met(df: DataFrame, others: DataFrame) -> DataFrame:
+        around = df.withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).withColumns({"gx": F.col("gx") + F.col("i"), "gy": F.col("gy") + F.col("j")})
+        other = others.select("gx", "gy", F.col("p").alias("np"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+        return around.join(other, ["gx", "gy"]).where(_distance() <= radius)
+
+    while not left.isEmpty():
+        standing = cut(left.groupBy("gx", "gy").agg(F.min(F.struct("p", "x", "y")).alias("c")).select("gx", "gy", "c.p", "c.x", "c.y"))
+        beaten = met(standing, standing).where("np < p").select("p").distinct()
+        new = cut(standing.join(beaten, "p", "left_anti"))
+        centers = new if centers is None else centers.union(new)
+        left = cut(left.join(met(left, new).select("p").distinct(), "p", "left_anti"))
+    return cells.select("barcode", "x", "y").limit(0) if centers is None else centers.select("p.barcode", "x", "y")
+
+
 def hops(edges: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
     """center, neighbor, hops of nodes at most `depth` edges apart (self at 0); edges a, b both ways."""
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()

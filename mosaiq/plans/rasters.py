@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import image, territory, views
+from ..operators import image, spatial, territory, views
 from ..sources.bindings import CELLS, _read, retail_cells
 from .registry import query, rounded
 
@@ -191,3 +191,31 @@ def order_labels(spark, sf):
 @query()
 def territory_hulls(spark, sf):
     return views.territory_plot(retail_cells(spark, sf), contour="convex")
+
+
+@query(f"""WITH RECURSIVE {TILES}, s(d, nx, ny, ax, ay, qx, qy) AS (VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 1, 0, 1), (3, -1, 0, 0, 1, 0, 0)),
+e AS (SELECT t.territory, d, t.x + ax AS ax, t.y + ay AS ay, t.x + qx AS qx, t.y + qy AS qy FROM tiles t, s WHERE NOT EXISTS (SELECT 1 FROM tiles o WHERE o.territory = t.territory AND o.x = t.x + nx AND o.y = t.y + ny)),
+k AS (SELECT e.territory, e.ax, e.ay, e.d, o.ax AS nax, o.ay AS nay, o.d AS nd, row_number() OVER (PARTITION BY e.territory, e.ax, e.ay, e.d ORDER BY CASE (o.d - e.d + 4) % 4 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) AS r FROM e JOIN e o ON o.territory = e.territory AND o.ax = e.qx AND o.ay = e.qy),
+n AS (SELECT territory, ax, ay, d, nax, nay, nd FROM k WHERE r = 1),
+w(territory, sx, sy, sd, x, y, d, step) AS (SELECT territory, ax, ay, d, ax, ay, d, 0 FROM n
+ UNION ALL SELECT w.territory, sx, sy, sd, nax, nay, nd, step + 1 FROM w JOIN n ON n.territory = w.territory AND n.ax = w.x AND n.ay = w.y AND n.d = w.d WHERE NOT (nax = sx AND nay = sy AND nd = sd)),
+l AS (SELECT territory, sx, sy, sd, min((x, y, d)) = (sx, sy, sd) AS lead FROM w GROUP BY 1, 2, 3, 4)
+SELECT territory, concat(sx, ',', sy, ',', sd) AS ring, CAST(step AS BIGINT) AS step, x, y FROM w JOIN l USING (territory, sx, sy, sd) WHERE lead""")
+def territory_borders(spark, sf):
+    """Border rings of the market segments on the customers' raster."""
+    t = _tiles(spark, sf).join(retail_cells(spark, sf).select("barcode", "territory"), "barcode")
+    return territory.borders(t)
+
+
+_SPREAD = 3.0
+
+
+@query(f"WITH {CELLS} SELECT barcode, true AS covered, false AS clash FROM cells")
+def bubble_centers(spark, sf):
+    """Whether each cell has a centre within the radius, and whether it is a centre with another one there."""
+    cells = retail_cells(spark, sf).select("barcode", "x", "y")
+    centers = spatial.spread(cells, _SPREAD)
+    own = centers.select(F.col("barcode").alias("c"), F.lit(True).alias("is"))
+    near = spatial.radius_join(cells, centers, _SPREAD).groupBy(F.col("center").alias("c")).agg(F.count("*").alias("n"))
+    each = cells.select(F.col("barcode").alias("c")).join(near, "c", "left").join(own, "c", "left")
+    return each.select(F.col("c").alias("barcode"), F.col("n").isNotNull().alias("covered"), (F.coalesce("is", F.lit(False)) & (F.coalesce("n", F.lit(0)) > 1)).alias("clash"))

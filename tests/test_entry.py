@@ -34,7 +34,7 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     assert "markers_rank_sum" in out.stdout and "op2_" not in out.stdout and "pipeline" not in out.stdout
 
 
-NAMES = ["filter_grid", "reduce_resolution", "adjust_counts", "zscale", "knn_points", "hex_grid", "box_smooth", "layer_peel", "isolate_components", "markers_rank_sum", "markers_welch", "markers_wilcox", "markers_chisq", "markers_ttest_p", "markers_fisher_p", "markers_wilcox_exact", "tmm_factors", "size_factors", "equalize_piecewise", "equalize_plateau", "smooth_median", "smooth_iso", "total_cost_sparse", "holm_adjust", "composition_jaccard", "filter_cost", "dedupe_map", "cost_contribution"]
+NAMES = ["filter_grid", "reduce_resolution", "adjust_counts", "zscale", "knn_points", "hex_grid", "box_smooth", "layer_peel", "isolate_components", "territory_borders", "bubble_centers", "markers_rank_sum", "markers_welch", "markers_wilcox", "markers_chisq", "markers_ttest_p", "markers_fisher_p", "markers_wilcox_exact", "tmm_factors", "size_factors", "equalize_piecewise", "equalize_plateau", "smooth_median", "smooth_iso", "total_cost_sparse", "holm_adjust", "composition_jaccard", "filter_cost", "dedupe_map", "cost_contribution"]
 
 
 @pytest.mark.parametrize("name", NAMES)
