@@ -12,7 +12,8 @@ down to the child with over half of the varying text outside links, as long as t
 constant or vetoed text behind (a heading beside the text stays). That element is the host's container;
 its slots are the text. Not taken are text nodes that all pages have in the same gap (unless they
 outweigh the varying text: then the pages are copies of each other), repeated slots that are links for
-the most part, and what element names or class words veto: names decide nothing else.
+the most part, and what element names or class words veto: names decide nothing else. Class words that parts of an
+article have, too (header, legal and the like), veto neither there nor within an article or main element.
 
 Pages of hosts with fewer than three pages, and pages without their host's container, have no template.
 There, names decide: the article or main element if there is one, else what is neither vetoed nor links.
@@ -44,16 +45,19 @@ from .common import slices, written
 
 #: Bytes of templates, of all hosts together, up to which they are broadcast; beyond, pages are joined to them.
 BROADCAST_BYTES = 32 << 20
-_token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+# text, or a tag without `<` in it; nothing is tried twice
+_simple = re.compile(r"[^<]++|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"<]*+\"|'[^'<]*+')*+)>")
+_name = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)")
+_stop = re.compile(r"[>\"']")
+_RAW = {n: re.compile(rf"</{n}\s*+>", re.I) for n in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "head")}
 _attr = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _CLOSES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "ul", "ol", "section", "article"}
 _BOILER = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "title"}
-_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|comments?|disqus|replies|respond|sidebar|side|menu|nav\w*|breadcrumbs?|share|sharing|social|related|recommend\w*|subscri\w*|newsletter|popup|modal|widget|footer|header|masthead|topbar|toolbar|login|search|pag(?:er|ination)|skip|copyright|legal)(?:$|[\s_-])", re.I)
+_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|comments?|disqus|replies|respond|sidebar|menu|nav\w*|breadcrumbs?|share|sharing|social|related|recommend\w*|subscri\w*|newsletter|popup|modal|footer|masthead|topbar|toolbar|login|pag(?:er|ination)|skip)(?:$|[\s_-])", re.I)
+#: Class words that parts of an article have, too.
+_DOUBT = re.compile(r"(?:^|[\s_-])(?:alert|side|widget|header|search|copyright|legal)(?:$|[\s_-])", re.I)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|main|maincontent|post|entry|story)(?:[\s_-](?:body|content|text))?(?:$|\s)", re.I)
 _HEADINGS = {"h1", "h2", "h3", "p"}
 TEXT, OPEN, CLOSE = 0, 1, 2
@@ -62,15 +66,15 @@ _END = 0x2545F4914F6CDD1D  # turns the key of an element's begin into that of it
 
 class Token(NamedTuple):
     """key: the role (0: white space, or an inline element); owner: the role of the block element around
-    it. linked, veto, main: inside a link, a vetoed element, an article or main element. plain: an element
-    of headings or paragraphs."""
+    it. linked, main: inside a link, an article or main element. veto: inside a vetoed element (2), or one that is
+    vetoed unless a template's container holds it (1). plain: an element of headings or paragraphs."""
 
     kind: int
     key: int
     owner: int
     text: str = ""
     linked: bool = False
-    veto: bool = False
+    veto: int = 0
     main: bool = False
     plain: bool = False
 
@@ -79,11 +83,11 @@ def _key(text: str, seed: int = 11) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) >> 1
 
 
-_roles: dict[tuple, tuple[int, bool, bool]] = {}
+_roles: dict[tuple, tuple[int, int, bool]] = {}
 
 
-def _role(path: int, name: str, attributes: str, in_main: bool) -> tuple[int, bool, bool]:
-    """Role of an element in `path`, whether it is vetoed, and whether it is a main element."""
+def _role(path: int, name: str, attributes: str, in_main: bool) -> tuple[int, int, bool]:
+    """Role of an element in `path`, its veto (Token), and whether it is a main element."""
     asked = (path, name, attributes, in_main)
     if (got := _roles.get(asked)) is None:
         if len(_roles) > 50_000:
@@ -91,50 +95,105 @@ def _role(path: int, name: str, attributes: str, in_main: bool) -> tuple[int, bo
         hint = " ".join((a[1] or a[2] or a[3]) for a in _attr.findall(attributes)) if attributes else ""
         sign = " ".join(w for w in hint.split() if not re.search(r"\d{3}", w))
         main = name in ("article", "main") or (name in ("div", "section") and bool(_MAIN.search(hint)))
-        veto = name in _BOILER or (name == "header" and not in_main) or (bool(hint) and name not in ("html", "body", "article", "main") and bool(_HINT.search(hint)))
+        named = bool(hint) and name not in ("html", "body", "article", "main")
+        veto = 2 if name in _BOILER or (named and _HINT.search(hint)) else int(not in_main and (name == "header" or (named and bool(_DOUBT.search(hint)))))
         got = _roles[asked] = (_key(f"{name} {sign}", path), veto, main)
     return got
 
 
+def pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """Name (of an end tag with a slash before it), attributes and '' of each tag, or '', '' and text; comments and raw
+    elements are left out. A tag ends at the first `>` outside of quotes; a `<` without such an end is text. Each
+    character is looked at a few times, however the page is broken: where a quote of a tag leads is kept."""
+    at, n, last, leads, near = 0, len(page), page.rfind(">"), {}, (0, -1)
+
+    def end_of(p: int) -> int:
+        """The end of a tag whose attributes begin at p, or -1. p grows from call to call."""
+        nonlocal near
+        if not near[0] <= p <= near[1]:
+            m = _stop.search(page, p)
+            near = p, m.start() if m else n
+        stop, trail = near[1], []
+        while stop < n and page[stop] != ">" and stop not in leads:
+            trail.append(stop)
+            close = page.find(page[stop], stop + 1)
+            m = _stop.search(page, close + 1) if close >= 0 else None
+            stop = m.start() if m else n
+        found = leads.get(stop, stop if stop < n else -1)
+        leads.update(dict.fromkeys(trail, found))
+        return found
+
+    while at < n:
+        m = _simple.match(page, at)
+        if m and not m[2]:
+            yield "", "", m[0]
+            at = m.end()
+            continue
+        if m and (m[1] or m[2].lower() not in _RAW):
+            yield m[1] + m[2].lower(), m[3], ""
+            at = m.end()
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if at < last:
+            if m := _name.match(page, at):
+                name = m[2].lower()
+                if not m[1] and name in _RAW:
+                    m = _RAW[name].search(page, page.find(">", at) + 1)
+                    at = m.end() if m else n
+                    continue
+                if (end := end_of(m.end())) >= 0:
+                    yield m[1] + name, page[m.end() : end], ""
+                    at = end + 1
+                    continue
+            elif page[at + 1] in "!?":
+                at = page.find(">", at) + 1
+                continue
+        yield "", "", "<"
+        at += 1
+
+
 def tokens(page: str | None) -> list[Token]:
     """Tags of block elements and text nodes of a page, each element with its end; comments, scripts,
     styles and the head are left out. Line breaks are white space."""
     out: list[Token] = []
     # name, role and state outside of each open element: path, linked, veto, main
-    stack: list[tuple[str, int, int, bool, bool, bool]] = []
-    path, linked, veto, main = 0, False, False, False
+    stack: list[tuple[str, int, int, bool, int, bool]] = []
+    open_: Counter = Counter()
+    path, linked, veto, main = 0, False, 0, False
 
     def end() -> None:
         nonlocal path, linked, veto, main
         name, key, path, linked, veto, main = stack.pop()
+        open_[name] -= 1
         if key:
             out.append(Token(CLOSE, key ^ _END, key))
 
-    for m in _token.finditer(page or ""):
-        whole = m[0]
-        if m[3]:
-            name = m[3].lower()
-            if m[2]:
-                if any(s[0] == name for s in stack):
-                    while stack[-1][0] != name:
-                        end()
-                    end()
-            elif name == "br":
-                out.append(Token(TEXT, 0, path, " ", linked, veto, main))
-            elif name not in _VOID:
-                if name in _CLOSES:
-                    while stack and (stack[-1][0] in _INLINE or stack[-1][0] == "p" or (name == "li" and stack[-1][0] == "li")):
-                        end()
-                key, is_veto, is_main = _role(path, name, m[4], main)
-                inline = name in _INLINE
-                stack.append((name, 0 if inline else key, path, linked, veto, main))
-                linked, veto, main = linked or name == "a", veto or is_veto, main or is_main
-                if not inline:
-                    out.append(Token(OPEN, key, path, "", linked, veto, main, name in _HEADINGS))
-                    path = key
-        elif whole[0] != "<" or len(whole) == 1:
-            shown = html.unescape(whole)
+    for name, attributes, shown in pieces(page or ""):
+        if shown:
+            shown = html.unescape(shown)
             out.append(Token(TEXT, 0 if shown.isspace() else _key(" ".join(shown.split()), path ^ 1), path, shown, linked, veto, main))
+        elif name[0] == "/":
+            if open_[name[1:]]:
+                while stack[-1][0] != name[1:]:
+                    end()
+                end()
+        elif name == "br":
+            out.append(Token(TEXT, 0, path, " ", linked, veto, main))
+        elif name not in _VOID:
+            if name in _CLOSES:
+                while stack and (stack[-1][0] in _INLINE or stack[-1][0] == "p" or (name == "li" and stack[-1][0] == "li")):
+                    end()
+            key, own, is_main = _role(path, name, attributes, main)
+            inline = name in _INLINE
+            stack.append((name, 0 if inline else key, path, linked, veto, main))
+            open_[name] += 1
+            linked, veto, main = linked or name == "a", max(veto, own), main or is_main
+            if not inline:
+                out.append(Token(OPEN, key, path, "", linked, veto, main, name in _HEADINGS))
+                path = key
     while stack:
         end()
     return out
@@ -147,7 +206,7 @@ def host(url: str | None) -> str:
 class Row(NamedTuple):
     """A token of half of a host's pages or more. a, b: hashes of its occurrence vector. times: how often
     it comes in all; place: its mean first place; chars, linked: code points of its own text, and of
-    those in links; state: kind, and 4 if vetoed, 8 if plain."""
+    those in links; state: kind, and 4 if vetoed, 8 if plain, 16 if vetoed in containers, too."""
 
     token: int
     pages: int
@@ -304,7 +363,7 @@ def deduce(rows: list[Row], pages: int, checks: dict[int, tuple[int, int, int]])
     varying = sum(by[t].chars - fixed[t] for t in inner)
     if sum(fixed[t] for t in inner) <= varying:
         out.constant = {t for t in constant if by[t].owner in set(inner)}
-    out.drop = {t for t in inner if by[t].state & 4 or (by[t].times > by[t].pages and by[t].chars and 2 * by[t].linked >= by[t].chars)}
+    out.drop = {t for t in inner if by[t].state & 16 or (by[t].times > by[t].pages and by[t].chars and 2 * by[t].linked >= by[t].chars)}
     return out
 
 
@@ -339,7 +398,7 @@ def main_text(page: str | None, template: Template) -> str | None:
                 inside = seen = True
             elif t.kind == CLOSE and t.owner == template.container:
                 inside = False
-        elif inside and (not template.container or not (t.veto or t.owner in template.drop or t.key in template.constant)):
+        elif inside and (not template.container or not (t.veto > 1 or t.owner in template.drop or t.key in template.constant)):
             out.add(t)
     out.end()
     return " ".join(out.out) if seen else None
@@ -380,7 +439,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if t.key:
                         got = seen.get(t.key)
                         if got is None:
-                            got = seen[t.key] = [0, i, 0, 0, t.owner, t.kind | 4 * t.veto | 8 * t.plain]
+                            got = seen[t.key] = [0, i, 0, 0, t.owner, t.kind | 4 * (t.veto > 0) | 8 * t.plain | 16 * (t.veto > 1)]
                         got[0] += 1
                         got[2] += len(t.text)
                 for k, (n, *rest) in seen.items():

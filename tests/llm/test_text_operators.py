@@ -724,3 +724,66 @@ def test_spans_follow_the_labelled_words(spark):
         assert all(x["start"] < x["end"] for x in found) and all(x["end"] <= y["start"] for x, y in zip(found, found[1:], strict=False))
         last = found[-1]
         assert last["lang"] == "de" and abs(last["start"] - len(odd) - 300) < 60 and last["end"] > len(text) - 20
+
+
+def test_parts_of_articles_with_doubtful_names_stay(spark):
+    """Headlines and sections whose class words name page parts elsewhere, on hosts with a template and on a lone page; what
+    stands around the article goes."""
+    names = ["legal", "post-header", "alert", "search", "side", "widget"]
+    page = lambda i, around: (
+        f'<html><body><div class="header"><a href="/">Home</a> Site name</div><div class="{around}"><p>Elsewhere {i} {i * 7}</p></div><article><div class="entry-header"><h1>Headline {i}</h1></div>'
+        f"<p>First paragraph number {i} of the story, with words of its own such as {'x' * (i + 3)}.</p>"
+        + "".join(f'<div class="{n}"><p>On {n} there is {i} and {i * i} to say.</p></div>' for n in names)
+        + f'</article><div class="comments"><p>Reader {i} says no.</p></div><footer>Imprint</footer></body></html>'
+    )
+    rows = [(i, f"http://a.example/{i}", page(i, "sidebar")) for i in range(6)] + [(9, "http://lone.example/", page(9, "widget"))]
+    found = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    for i, text in found.items():
+        assert text.startswith(f"Headline {i} First paragraph number {i}")
+        assert all(f"On {n} there is {i} and {i * i} to say." in text for n in names)
+        assert not any(x in text for x in ("Elsewhere", "Reader", "Imprint", "Site name"))
+
+
+def _plain_tokens(page):
+    """The scanner's rules, character by character."""
+    out, i, n = [], 0, len(page)
+    while i < n:
+        if page[i] == "<" and i + 1 < n and (page[i + 1].isalpha() or (page[i + 1] == "/" and i + 2 < n and page[i + 2].isalpha())):
+            j = i + 1 + (page[i + 1] == "/")
+            k = j
+            while k < n and page[k] not in " /<>":
+                k += 1
+            end, quote = k, ""
+            while end < n and (quote or page[end] != ">"):
+                quote = ("" if page[end] == quote else quote) if quote else page[end] if page[end] in "\"'" else ""
+                end += 1
+            if end < n:
+                out.append((page[i + 1 : j] + page[j:k].lower(), page[k:end], ""))
+                i = end + 1
+                continue
+        if page[i] == "<":
+            out.append(("", "", "<"))
+            i += 1
+            continue
+        j = page.find("<", i)
+        j = n if j < 0 else j
+        out.append(("", "", page[i:j]))
+        i = j
+    return out
+
+
+def test_tags_of_broken_pages_equal_a_plain_reading():
+    rng = random.Random(4)
+    for _ in range(3_000):
+        page = "".join(rng.choice(["<", "<a", "</b", ">", '"', "'", " ", "x", " c=", "/"]) for _ in range(rng.randint(0, 24)))
+        assert list(htmltext.pieces(page)) == _plain_tokens(page), page
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a", "<a b=\"x' ", "</b>", "<div>", "<script ", "<!", "<!-- "])
+def test_a_broken_page_of_a_megabyte_is_read_in_seconds(part):
+    import time
+
+    at = time.process_time()
+    for end in ("", ' ">', ">"):
+        htmltext.text_of(part * (1_000_000 // len(part)) + end, None)
+    assert time.process_time() - at < 60
