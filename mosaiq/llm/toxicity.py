@@ -6,7 +6,8 @@ bias, a weight for each term and the scalar products of the factors of each pair
 insult with a mention of a group, a beginning that is frequent in a text of that size) can count where
 neither term does alone. Terms that tell the classes apart best by themselves are kept, each with factors.
 
-Null and empty texts have no features: their score is the learned share of the class. Equal texts
+Null and empty texts have no features: their score is the logistic of the bias, which is near the learned
+share of the class but not equal to it, as the rarer class weighs more. Equal texts
 have equal scores. Rows without label aren't learned from; where no rows or one class are left, the
 model knows the bias alone. Of repeated ids the largest label counts, and the text of the smallest hash.
 """
@@ -28,8 +29,9 @@ from .common import slices
 
 #: Labelled documents that a model learns from at most, those of the smallest hashed ids.
 FIT_DOCUMENTS = 6000
-#: Terms at most, all with a weight and factors: those that tell the classes apart best by themselves.
-_TERMS, _FACTORS = 4096, 8
+#: Terms of a model at most, unless `fit` is told another number: those that tell the classes apart best by themselves.
+TERMS = 4096
+_FACTORS = 8
 _words = re.compile(r"[^\W\d_]+")
 
 
@@ -114,7 +116,7 @@ class FactorizationMachine:
         return out
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 0.5, decay: float = 1e-3, seed: int = 7) -> FactorizationMachine:
+def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 0.5, decay: float = 1e-3, seed: int = 7, most: int = TERMS) -> FactorizationMachine:
     """Adagrad on the logistic loss, over terms of three documents or more. The rarer class counts for
     up to three times as much, as a missed toxic text costs more than a doubtful one."""
     y = labels.astype(float)
@@ -129,7 +131,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: i
     kept = [p[np.append(vocabulary, -1)[p] == d] for p, d in zip(place, docs, strict=True)]
     hit = np.bincount(np.concatenate(kept), np.repeat(y, [len(k) for k in kept]), len(vocabulary))
     gain = np.abs(hit - df * share) / np.sqrt(df * share * (1 - share) + 1.0)
-    best = np.sort(np.argsort(-gain, kind="stable")[:_TERMS])
+    best = np.sort(np.argsort(-gain, kind="stable")[:most])
     vocabulary, moved = vocabulary[best], np.full(len(gain) + 1, -1)
     moved[best] = np.arange(len(best))
     kept = [m[m >= 0] for m in (moved[k] for k in kept)]
@@ -166,8 +168,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: i
     return FactorizationMachine(float(b), vocabulary, w, paired, v)
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column, text: str = "text", label: str = "toxic", by: str = "doc_id", limit: int = FIT_DOCUMENTS) -> FactorizationMachine:
-    """Learns from at most `limit` labelled documents for which `where` holds, those whose hashed `by`
+def fit(docs: DataFrame, labels: DataFrame, where: Column, text: str = "text", label: str = "toxic", by: str = "doc_id", limit: int = FIT_DOCUMENTS, most: int = TERMS) -> FactorizationMachine:
+    """Learns `most` terms at most from at most `limit` labelled documents for which `where` holds, those whose hashed `by`
     is smallest. The sample of labels is bounded by `limit`, so it is broadcast to the join."""
     rows = labels.where(F.col(label).isNotNull() & F.col(by).isNotNull()).groupBy(by).agg(F.max(label).alias("label"))
     sample = rows.withColumn("h", F.xxhash64(by)).where(where).orderBy("h", by).limit(limit)
@@ -176,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, text: str = "text", l
     kept: list[np.ndarray] = []
     for i in range(0, len(found), 500):
         kept += make([r["text"] for r in found[i : i + 500]])
-    return train(kept, np.array([int(r["label"]) == 1 for r in found], bool))
+    return train(kept, np.array([int(r["label"]) == 1 for r in found], bool), most=most)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, keep: list[str], text: str = "text") -> DataFrame:
