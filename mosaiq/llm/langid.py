@@ -221,9 +221,15 @@ class Labeller:
         if not len(path):
             return []
         names = self.model.languages
-        if (path == path[0]).all() and text.isascii():
-            # one language: from the first letter to the last
-            return [{"start": _words.search(text).start(), "end": len(text) - _words.search(text[::-1]).start(), "lang": names[path[0]]}]
+        if (path == path[0]).all():
+            # one language: from the first labelled word to the last
+            first = next(w.start() for w in _words.finditer(text) if words_of(w[0]))
+            last = next(w.start() for w in _words.finditer(text[::-1]) if words_of(w[0][::-1]))
+            return [{"start": first, "end": len(text) - last, "lang": names[path[0]]}]
+        if len(text.lower()) == len(text) and len(at := [w.span() for w in _words.finditer(text)]) == len(path):
+            # lowering cut no word, and each has a label
+            turns = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(at)]
+            return [{"start": at[i][0], "end": at[j - 1][1], "lang": names[path[i]]} for i, j in zip(turns, turns[1:])]  # noqa: B905
         out: list[dict] = []
         # labels belong to the words of the lower-case text; lowering can cut a word (the dot of an I with one is no letter)
         at = 0
