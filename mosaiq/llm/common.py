@@ -59,10 +59,11 @@ def written(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint() of a small intermediate result."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads again."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            _drop(df.sparkSession, folder)
 
 
 def _release() -> None:

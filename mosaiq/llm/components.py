@@ -1,8 +1,9 @@
 """Connected components of a graph by alternating large-star and small-star steps.
 
-Each round is joins and aggregates with map-side combination, checkpointed to the shared folder: a join
-has two plain exchanges, which adaptive execution splits where a node (the root of a large component) has
-very many links. Links never reach the driver.
+Each round is joins and aggregates with map-side combination, written to the shared folder as Parquet
+tables: a join has two plain exchanges, which adaptive execution splits where a node (the root of a large
+component) has very many links. Links never reach the driver. checkpoint() would keep the estimated size of
+the plan before it, a product for each join, whose digits grow fourfold each round until they fill the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mapped
+from .common import discard, mapped, written
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,18 +47,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """links: two long columns; nulls and loops are left out, repeated links count once. Returns node
     and root, the smallest node of its component, for each node that isn't a root itself."""
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col(a) != F.col(b)))
-    e = checkpointed(mapped(pairs, _contract, "u long, v long").distinct())
+    e = written(mapped(pairs, _contract, "u long, v long").distinct())
     seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
     for _ in range(rounds):
         if not seen[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = checkpointed(large)
-        small = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = written(large)
+        small = written(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(small, "u")
-        e = checkpointed(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct())
+        new = written(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct())
+        discard(e, least, large, small)
+        e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == seen:
             break

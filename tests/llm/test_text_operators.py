@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm import decontaminate, htmltext, langid, linededup, queries, simhash, sketch, toxicity
 from mosaiq.llm.bpe import ChunkEncoder, bpe_encode, cuts
-from mosaiq.llm.common import Memo, held_out, tokenizer_path
+from mosaiq.llm.common import Memo, held_out, shared_dir, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 ODD = [(None, None, 1), (1, "", 2), (1, "", 2), (2, " \n\t", 3), (3, "word " * 30_000, 4), (4, "x", 5), (None, "x", 6)]
@@ -173,6 +174,19 @@ def test_anchors_cover():
             assert set(own) & set(simhash.anchors(np.array([near]))[0])
 
 
+def test_components_of_a_long_chain(spark):
+    """Many rounds leave neither a size estimate that grows with each nor the tables of the rounds before."""
+    ids = F.xxhash64("id"), F.xxhash64(F.col("id") + 1)
+    links = spark.range(3000).select(ids[0].alias("a"), ids[1].alias("b")).repartition(16, "a")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = {*folder.glob("mosaiq-*")}
+    root = simhash.components(links)
+    assert len({*folder.glob("mosaiq-*")} - before) == 1
+    rows = root.collect()
+    assert len(rows) == 3000 and len({r["root"] for r in rows}) == 1 and rows[0]["root"] < min(r["node"] for r in rows)
+    assert float(str(root._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1e7
+
+
 def test_simhash_odd_rows(odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
