@@ -31,6 +31,8 @@ UND = "und"
 #: Documents that a model learns from at most, those of the smallest hashed ids; it bounds what reaches the driver.
 FIT_DOCUMENTS = 3000
 SWITCH = 14.0
+#: Steps of a sequence that a piece has, and steps before it that it begins with.
+PIECE, WARM = 256, 48
 _BITS = 17
 #: First code point of a script's main ranges, and the script; "" where no script begins.
 SCRIPTS = [
@@ -144,39 +146,60 @@ def fit(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang",
 
 def viterbi(steps: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     """The best label of each step of each sequence (arrays of steps x labels). A switch between any
-    two labels costs `penalty`, so one maximum over all labels is enough for each step. Sequences of
-    like length are run side by side."""
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(steps)
-    order = sorted((i for i, s in enumerate(steps) if len(s)), key=lambda i: len(steps[i]))
-    at = 0
-    while at < len(order):
-        shortest = len(steps[order[at]])
-        end = at
-        while end < len(order) and end - at < 512 and len(steps[order[end]]) <= 1.25 * shortest + 8:
-            end += 1
-        group = order[at:end]
-        n, most, labels = len(group), len(steps[group[-1]]), steps[group[0]].shape[1]
-        s = np.zeros((most, n, labels), np.float32)
-        for j, i in enumerate(group):
-            s[: len(steps[i]), j] = steps[i]
-        stay = np.empty((most, n, labels), bool)
-        best = np.empty((most, n), np.int8)
-        v = s[0].copy()
-        for t in range(1, most):
-            best[t] = v.argmax(axis=1)
-            m = v.max(axis=1, keepdims=True) - np.float32(penalty)
-            np.greater_equal(v, m, out=stay[t])
-            v = np.maximum(v, m) + s[t]
-            v -= v.max(axis=1, keepdims=True)
-        rows, path = np.arange(n), np.empty((most, n), np.int8)
-        path[-1] = now = v.argmax(axis=1)
-        for t in range(most - 1, 0, -1):
-            now = np.where(stay[t, rows, now], now, best[t])
-            path[t - 1] = now
-        for j, i in enumerate(group):
-            out[i] = path[: len(steps[i]), j]
-        at = end
-    return out
+    two labels costs `penalty`, so one maximum over all labels is enough for each step. Sequences are
+    cut into pieces that run side by side, each begun WARM steps early. A lead of `penalty` wipes out
+    what was before, so most pieces begin in the state, to the bit, in which the one before ends; the
+    others run again from that one."""
+    sizes = np.fromiter(map(len, steps), np.int64, len(steps))
+    if not sizes.any():
+        return [np.zeros(0, np.int8) for _ in steps]
+    scores = np.ascontiguousarray(np.concatenate([s for s in steps if len(s)]).T, np.float32)
+    labels, pieces = np.arange(len(scores), dtype=np.int8)[:, None], -(-sizes // PIECE)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.repeat(np.cumsum(sizes) - sizes, pieces) + nth * PIECE
+    length = np.minimum(np.repeat(sizes, pieces) - nth * PIECE, PIECE)
+    came = np.empty(scores.shape, np.int8)  # for each step and label the best label of the step before
+
+    def forward(v: np.ndarray, at: np.ndarray, n: np.ndarray, note: bool = True) -> np.ndarray:
+        """The states after n steps (n falls) from the states v before the steps `at`."""
+        v = v.copy()
+        for t in range(n[0] if len(n) else 0):
+            k = len(n) - np.searchsorted(n[::-1], t, side="right")
+            now, i = v[:, :k], at[:k] + t
+            m = now.max(axis=0) - np.float32(penalty)
+            if note:
+                came[:, i] = np.where(now >= m, labels, now.argmax(axis=0).astype(np.int8))
+            now = np.maximum(now, m) + scores.take(i, axis=1)
+            v[:, :k] = now - now.max(axis=0)
+        return v
+
+    first = np.zeros((len(scores), len(nth)), np.float32)
+    later = np.flatnonzero(nth)
+    first[:, later] = forward(first[:, later], begin[later] - WARM, np.full(len(later), WARM), note=False)
+    last, again = np.empty_like(first), np.arange(len(nth))
+    while len(again):
+        again = again[np.argsort(-length[again], kind="stable")]
+        last[:, again] = forward(first[:, again], begin[again], length[again])
+        odd = np.zeros(len(nth), bool)
+        odd[later] = (first[:, later] != last[:, later - 1]).any(axis=0)
+        again = np.flatnonzero(odd & ~np.roll(odd, 1))
+        first[:, again] = last[:, again - 1]
+    # back from each label that a piece may end with, then from the one that it does end with
+    order = np.argsort(-length, kind="stable")
+    n, end = length[order], (begin + length - 1)[order]
+    path, now = np.empty(scores.shape, np.int8), np.repeat(labels, len(order), axis=1)
+    for t in range(n[0]):
+        k = len(n) - np.searchsorted(n[::-1], t, side="right")
+        i = end[:k] - t
+        path[:, i] = now[:, :k]
+        now[:, :k] = came[now[:, :k], i]
+    before = np.empty_like(now)
+    before[:, order] = now
+    ends = last.argmax(axis=0)
+    for p in later[::-1].tolist():
+        ends[p - 1] = before[ends[p], p]
+    found = path[np.repeat(ends, length), np.arange(len(came[0]))]
+    return np.split(found, np.cumsum(sizes)[:-1])
 
 
 class Labeller:

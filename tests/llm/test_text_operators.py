@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -341,6 +342,44 @@ def test_spans_of_a_mixed_text_and_odd_rows(spark, odd):
     assert langid.Labeller(empty)(["abc", None])[0] == ["und", "und"]
 
 
+def plain_viterbi(s, penalty):
+    """Step by step over the whole sequence."""
+    came, v = [], s[0] - s[0].max()
+    for x in s[1:]:
+        m = v.max() - np.float32(penalty)
+        came.append(np.where(v >= m, np.arange(len(v)), v.argmax()))
+        v = np.maximum(v, m) + x
+        v = v - v.max()
+    path = [int(v.argmax())]
+    for c in reversed(came):
+        path.append(int(c[path[-1]]))
+    return path[::-1]
+
+
+@pytest.mark.parametrize("scale", [0.0, 0.05, 1.0, 8.0])
+def test_viterbi_in_pieces_equals_the_whole(monkeypatch, scale):
+    monkeypatch.setattr(langid, "PIECE", 12)
+    monkeypatch.setattr(langid, "WARM", 5)
+    rng = np.random.default_rng(8)
+    steps = [(scale * rng.normal(size=(n, 3))).round(2).astype(np.float32) for n in (0, 1, 11, 12, 13, 0, 25, 400, 36)]
+    steps.append(np.zeros((60, 3), np.float32))
+    steps[-1][0, 2] = 1  # nothing after it wipes this out
+    got = langid.viterbi(steps, 4.0)
+    assert [x.tolist() for x in got] == [plain_viterbi(s, 4.0) if len(s) else [] for s in steps]
+
+
+def test_viterbi_of_a_long_text_is_not_step_by_step():
+    rng = np.random.default_rng(9)
+    s = np.minimum(rng.normal(-3, 1, (60_000, 4)), 0).astype(np.float32)
+    s[:30_000, 1] = s[30_000:, 2] = 0
+    times = []
+    for f in (lambda: langid.viterbi([s], 14.0)[0].tolist(), lambda: plain_viterbi(s, 14.0)):
+        began = time.process_time()
+        times.append((f(), time.process_time() - began))
+    assert times[0][0] == times[1][0] == [1] * 30_000 + [2] * 30_000
+    assert times[0][1] < times[1][1] / 4
+
+
 def test_viterbi_equals_brute_force():
     import itertools
 
