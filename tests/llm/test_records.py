@@ -128,6 +128,19 @@ def test_pipeline_stages(spark):
     assert out.count() == kept[-1] and out.agg(F.min("n_tokens")).first()[0] > 0
 
 
+def test_near_duplicate_stage_cuts_lineage_by_tables(spark, monkeypatch):
+    """checkpoint() keeps the estimated size of the plan before it; its digits grow with each round of components in the driver."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    chain = [" ".join(f"w{k}" for k in range(6 * i, 6 * i + 80)) for i in range(20)]
+    rows = [(1000 + i, t, "en", "s", len(t)) for i, t in enumerate(chain)]
+    every = docs.union(spark.createDataFrame(rows, docs.schema))
+    monkeypatch.setattr(type(docs), "checkpoint", lambda *a, **b: pytest.fail("checkpoint() of a table in a loop"))
+    kept = [r["doc_id"] for r in p.drop_near_duplicates(spark, every, SF).collect()]
+    assert 1000 in kept and len(kept) == len({*kept})
+
+
 def test_pipeline_drops_texts_that_share_four_fifths_of_their_shingles(spark):
     import random
 
