@@ -130,10 +130,11 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     if not 0 <= bits <= 3:
         raise ValueError("the anchors cover differences of 0 to 3 bits")
     distinct = written(fps.select("fp").where("fp is not null").distinct())
-    homes, replicas = _replicated(distinct, True), _replicated(distinct, False)
+    # Spark takes these for as small as the fingerprints that they are made of; unhinted it would broadcast millions of replicas
+    homes, replicas = _replicated(distinct, True).hint("merge"), _replicated(distinct, False).hint("merge")
     dense = written(homes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > DENSE))
     near = F.bit_count(F.col("h").bitwiseXOR(F.col("fp"))) <= bits
-    plain = homes.join(dense, "key", "left_anti").select("key", F.col("fp").alias("h")).join(replicas, "key").where((F.col("h") != F.col("fp")) & near).select(F.col("h").alias("a"), F.col("fp").alias("b"))
+    plain = homes.join(dense, "key", "left_anti").select("key", F.col("fp").alias("h")).hint("merge").join(replicas, "key").where((F.col("h") != F.col("fp")) & near).select(F.col("h").alias("a"), F.col("fp").alias("b"))
     # a dense home's rows: each home is dealt to a row of the grid, each replica to a column
     crowd = replicas.join(dense, "key")
     grid = crowd.groupBy("key").agg(F.ceil(F.first("n") / BLOCK).cast("int").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("cols"))
