@@ -175,6 +175,11 @@ def test_anchors_cover():
             assert set(own) & set(simhash.anchors(np.array([near]))[0])
 
 
+def test_simhash_links_broadcast_no_replicas(spark):
+    plan = simhash.links(spark.range(50).select(F.xxhash64("id").alias("fp")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_components_of_a_long_chain(spark):
     """Many rounds leave neither a size estimate that grows with each nor the tables of the rounds before."""
     ids = F.xxhash64("id"), F.xxhash64(F.col("id") + 1)
