@@ -17,6 +17,12 @@ def signif(v: Column, digits: int) -> Column:
     return F.when(v == 0, F.lit(0.0)).otherwise(F.round(v / F.pow(F.lit(10.0), e), digits - 1) * F.pow(F.lit(10.0), e))
 
 
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """x rounded to decimal places, halves away from zero, as SQL does; nan stays and no zero is negative."""
+    y = x * 10.0**digits
+    return np.trunc(y + np.copysign(0.5, y)) / 10.0**digits + 0.0
+
+
 def holm(p: str, by: str, tie: str) -> Column:
     """Holm's adjusted p-values within `by`."""
     w = W.partitionBy(by).orderBy(p, tie)

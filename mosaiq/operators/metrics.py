@@ -6,21 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .blocks import Scores
 
-def top_overlap(scores: DataFrame, nn: int = 10) -> DataFrame:
+
+def top_overlap(scores: DataFrame | Scores, nn: int = 10) -> DataFrame:
     """a, b, distance: 1 less the Jaccard index of the nn best seeds of two queries (score, ties by seed);
     pairs that share none, at distance 1, are left out. An inverted index makes the pairs."""
-    w = W.partitionBy("query").orderBy(F.desc("score"), "seed")
-    top = scores.withColumn("r", F.row_number().over(w)).where(F.col("r") <= nn).select("query", "seed").withColumn("n", F.count("*").over(W.partitionBy("query")))
+    if isinstance(scores, Scores):
+        best = scores.top(nn)
+    else:
+        w = W.partitionBy("query").orderBy(F.desc("score"), "seed")
+        best = scores.withColumn("r", F.row_number().over(w)).where(F.col("r") <= nn)
+    top = best.select("query", "seed").withColumn("n", F.count("*").over(W.partitionBy("query")))
     a, b = top.select(F.col("query").alias("a"), "seed", F.col("n").alias("na")), top.select(F.col("query").alias("b"), "seed", F.col("n").alias("nb"))
     m = a.join(b, "seed").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m"))
     return m.select("a", "b", (1 - F.col("m") / (F.col("na") + F.col("nb") - F.col("m"))).alias("distance"))
 
 
-def contribution(costs: DataFrame) -> DataFrame:
-    """metric (kind) with dispersion, cv, gini, iqr, range and poc (share of the total) of its scores."""
-    w = W.partitionBy("kind").orderBy("score")
-    x = costs.withColumn("i", F.row_number().over(w)).groupBy("kind").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.avg("score").alias("m"), F.var_samp("score").alias("v"), F.sum(F.col("i") * F.col("score")).alias("is"), F.max("score").alias("hi"), F.min("score").alias("lo"), F.percentile("score", 0.75).alias("q3"), F.percentile("score", 0.25).alias("q1"))
+def contribution(costs: DataFrame | Scores) -> DataFrame:
+    """metric (kind) with dispersion, cv, gini, iqr, range and poc (share of the total) of its scores, by how many pairs have
+    each score: pairs of one score are never listed, and only a kind's distinct scores meet."""
+    d = costs.distribution() if isinstance(costs, Scores) else costs.groupBy("kind", "score").agg(F.count("*").alias("n"))
+    d = cut(d)
+    n, v = F.col("n").cast("double"), F.col("score")
+    # scores of one value take the ranks after those below
+    below = F.sum(n).over(W.partitionBy("kind").orderBy("score")) - n
+    m = d.groupBy("kind").agg((F.sum(n * v) / F.sum(n)).alias("m"))
+    x = d.withColumn("below", below).join(m, "kind").groupBy("kind").agg(F.sum("n").alias("n"), F.sum(n * v).alias("s"), F.first("m").alias("m"), (F.sum(n * (v - F.col("m")) * (v - F.col("m"))) / (F.sum("n") - 1)).alias("v"), F.sum(v * (n * F.col("below") + n * (n + 1) / 2)).alias("is"), F.max("score").alias("hi"), F.min("score").alias("lo"), F.percentile("score", 0.75, F.col("n")).alias("q3"), F.percentile("score", 0.25, F.col("n")).alias("q1"))
     total = F.sum("s").over(W.partitionBy(F.lit(1)))
     return x.select(F.col("kind").alias("metric"), (F.col("v") / F.col("m")).alias("dispersion"), (F.sqrt("v") / F.col("m")).alias("cv"), (2 * F.col("is") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).alias("gini"), (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("hi") - F.col("lo")).alias("range"), (F.col("s") / total).alias("poc"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import benjamini_hochberg, holm
-from ..operators import count_models, mapping, markers, metrics, views
+from ..operators import blocks, count_models, mapping, markers, metrics, views
 from ..sources.bindings import CELLS, COUNTS, LATENT, latent_assay, retail_cells, retail_counts
 from .registry import query, rounded
 
@@ -246,14 +246,11 @@ COSTS = f"""{CORR}, sm AS (SELECT query, seed, round(r, 4) AS score FROM pr), cs
 UNION ALL SELECT 'niche', query, seed, round(exp(-sqrt(power(q.x - s.x, 2) + power(q.y - s.y, 2)) / 5), 4) FROM sm JOIN qr q ON q.barcode = query JOIN sd s ON s.barcode = seed)"""
 
 
-def _costs(spark, sf):
-    """Two kinds of score: exact correlation, and closeness on the lattice."""
+def _scores(spark, sf, *kinds):
+    """Two kinds of score, or some of them: exact correlation, and closeness on the lattice."""
     s, q = _sides(spark, sf)
-    sim = rounded(mapping.similarity(q, s, "pearson_exact", 12), "score", digits=4)
-    place = lambda d, n: d.select(F.col("barcode").alias(n), F.col("x").alias(n + "x"), F.col("y").alias(n + "y"))
-    near = sim.select("query", "seed").join(place(q, "query"), "query").join(place(s, "seed"), "seed")
-    d = F.sqrt(F.pow(F.col("queryx") - F.col("seedx"), 2) + F.pow(F.col("queryy") - F.col("seedy"), 2))
-    return sim.select(F.lit("feature").alias("kind"), "query", "seed", "score").union(near.select(F.lit("niche"), "query", "seed", F.round(F.exp(-d / 5), 4)))
+    both = blocks.Scores(q.select("barcode", "vec", "x", "y"), s.select("barcode", "vec", "x", "y"), {"feature": blocks.correlation("vec"), "niche": blocks.closeness(5)}, 4)
+    return both.of(kinds=list(kinds)) if kinds else both
 
 
 _GOOD = "gd AS (SELECT query FROM (SELECT query, kind, max(score) AS m FROM cs GROUP BY 1, 2) GROUP BY query HAVING bool_and(m > 0.3))"
@@ -322,7 +319,7 @@ def overlap_distance(spark, sf):
 SELECT kind AS metric, round(var_samp(score) / avg(score), 4) AS dispersion, round(stddev_samp(score) / avg(score), 4) AS cv, round(2 * sum(i * score) / (count(*) * sum(score)) - (count(*) + 1) / count(*), 4) AS gini,
  round(quantile_cont(score, 0.75) - quantile_cont(score, 0.25), 4) AS iqr, round(max(score) - min(score), 4) AS "range", round(sum(score) / sum(sum(score)) OVER (), 4) AS poc FROM r GROUP BY kind""")
 def cost_contribution(spark, sf):
-    return rounded(metrics.contribution(_costs(spark, sf)), "dispersion", "cv", "gini", "iqr", "range", "poc", digits=4)
+    return rounded(metrics.contribution(_scores(spark, sf)), "dispersion", "cv", "gini", "iqr", "range", "poc", digits=4)
 
 
 @query()
