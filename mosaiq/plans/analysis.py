@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import benjamini_hochberg, holm
+from ..functions.numeric import benjamini_hochberg, half_up, holm
 from ..operators import blocks, count_models, mapping, markers, metrics, views
+from ..session import cut
 from ..sources.bindings import CELLS, COUNTS, LATENT, latent_assay, retail_cells, retail_counts
 from .registry import query, rounded
 
@@ -288,8 +289,9 @@ bm AS (SELECT query AS "from", seed AS "to", 1 AS epoch, cost FROM tc QUALIFY ro
 
 
 def _best(spark, sf):
-    t = rounded(mapping.total_cost(_costs(spark, sf)), "cost", digits=4)
-    return mapping.best_match(t.select(F.col("query").alias("from"), F.col("seed").alias("to"), F.lit(1).alias("epoch"), "cost"))
+    """Each query's seed of least cost, with its scores."""
+    found = _scores(spark, sf).best(4)
+    return found.select(F.col("query").alias("from"), F.col("seed").alias("to"), F.lit(1).alias("epoch"), "cost", "feature", "niche")
 
 
 @query(f"WITH {_BEST} SELECT * FROM bm")
@@ -305,7 +307,8 @@ def dedupe_map(spark, sf):
 
 @query(f"""WITH {_BEST} SELECT "from", "to", epoch, cost, max(score) FILTER (kind = 'feature') AS feature, max(score) FILTER (kind = 'niche') AS niche FROM bm JOIN cs ON query = "from" AND seed = "to" GROUP BY ALL""")
 def score_matches(spark, sf):
-    return mapping.score_matches(_best(spark, sf), _costs(spark, sf))
+    best = cut(_best(spark, sf))
+    return mapping.score_matches(best.drop("feature", "niche"), mapping.listed(best, ["feature", "niche"], "from", "to"))
 
 
 @query(f"""WITH {CORR}, t AS (SELECT query, seed FROM (SELECT query, seed, round(r, 4) AS score FROM pr) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, seed) <= 10)
