@@ -296,7 +296,7 @@ def _best(spark, sf):
 
 @query(f"WITH {_BEST} SELECT * FROM bm")
 def best_match(spark, sf):
-    return _best(spark, sf)
+    return mapping.best_match(_best(spark, sf).drop("feature", "niche"))
 
 
 @query(f"""WITH {_BEST}, r AS (SELECT *, row_number() OVER (PARTITION BY "from" ORDER BY cost, "from", "to") AS a, row_number() OVER (PARTITION BY "to" ORDER BY cost, "from", "to") AS b FROM bm)
