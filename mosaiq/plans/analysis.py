@@ -302,7 +302,7 @@ def best_match(spark, sf):
 @query(f"""WITH {_BEST}, r AS (SELECT *, row_number() OVER (PARTITION BY "from" ORDER BY cost, "from", "to") AS a, row_number() OVER (PARTITION BY "to" ORDER BY cost, "from", "to") AS b FROM bm)
 SELECT "from", "to", epoch, cost FROM r WHERE a = 1 AND b = 1""")
 def dedupe_map(spark, sf):
-    return mapping.dedupe(_best(spark, sf))
+    return mapping.dedupe(_best(spark, sf).drop("feature", "niche"))
 
 
 @query(f"""WITH {_BEST} SELECT "from", "to", epoch, cost, max(score) FILTER (kind = 'feature') AS feature, max(score) FILTER (kind = 'niche') AS niche FROM bm JOIN cs ON query = "from" AND seed = "to" GROUP BY ALL""")
