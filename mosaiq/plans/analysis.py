@@ -402,7 +402,7 @@ def territory_plot(spark, sf):
 @query(f"""WITH {_BEST}, n AS (SELECT bm.*, row_number() OVER (PARTITION BY "from" ORDER BY cost, "to") - 1 AS n FROM bm)
 SELECT CAST("from" AS VARCHAR) || CASE WHEN n > 0 THEN '-' || n ELSE '' END AS barcode, x, y, "from", "to" FROM n JOIN sd ON sd.barcode = "to" """)
 def align_index(spark, sf):
-    return mapping.align(_best(spark, sf), _sides(spark, sf)[0])
+    return mapping.align(_best(spark, sf).drop("feature", "niche"), _sides(spark, sf)[0])
 
 
 @query(f"WITH {COUNTS}, t AS (SELECT feature, sum(value) AS total FROM counts GROUP BY 1) SELECT feature FROM t WHERE total > (SELECT quantile_cont(total, 0.25) FROM t)")
