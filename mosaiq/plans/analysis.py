@@ -327,7 +327,7 @@ def cost_contribution(spark, sf):
 
 @query()
 def lap_mapping(spark, sf):
-    return mapping.assign_cells(mapping.total_cost(_costs(spark, sf)), 200, 2)
+    return mapping.assign_cells(_scores(spark, sf), 200, 2).select("from", "to", "epoch", "cost")
 
 
 @query(f"""WITH {COSTS}, tc AS (SELECT query, seed, round(sum(1 - score), 4) AS cost FROM cs GROUP BY 1, 2), m AS (SELECT query, epoch, min(cost) AS cost FROM tc, range(1, 4) t(epoch) WHERE seed % 3 < epoch GROUP BY 1, 2),
