@@ -259,7 +259,7 @@ _GOOD = "gd AS (SELECT query FROM (SELECT query, kind, max(score) AS m FROM cs G
 
 @query(f"WITH {COSTS}, {_GOOD} SELECT kind, query, seed, round(score, 4) AS score FROM cs WHERE query IN (SELECT query FROM gd)")
 def filter_cost(spark, sf):
-    return mapping.filter_cost(_costs(spark, sf), 0.3)
+    return mapping.filter_cost(_scores(spark, sf), 0.3).table()
 
 
 @query(f"WITH {COSTS} SELECT query, seed, round(sum(1 - score), 4) AS cost FROM cs GROUP BY 1, 2")
