@@ -264,7 +264,7 @@ def filter_cost(spark, sf):
 
 @query(f"WITH {COSTS} SELECT query, seed, round(sum(1 - score), 4) AS cost FROM cs GROUP BY 1, 2")
 def total_cost(spark, sf):
-    return rounded(mapping.total_cost(_costs(spark, sf)), "cost", digits=4)
+    return mapping.total_cost(_scores(spark, sf), decimals=4)
 
 
 @query(f"""WITH {_COMP}, qs AS (SELECT q.barcode AS query, s.barcode AS seed, round(exp(-sqrt(power(q.x - s.x, 2) + power(q.y - s.y, 2)) / 5), 4) AS near, CASE WHEN q.cell_type = s.cell_type THEN 1 ELSE 0 END AS same FROM cells q, cells s WHERE q.territory = 'BUILDING' AND s.territory = 'MACHINERY'),
