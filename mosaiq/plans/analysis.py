@@ -314,8 +314,7 @@ def score_matches(spark, sf):
 @query(f"""WITH {CORR}, t AS (SELECT query, seed FROM (SELECT query, seed, round(r, 4) AS score FROM pr) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, seed) <= 10)
 SELECT a.query AS a, b.query AS b, round(1 - count(*) / (20 - count(*)), 6) AS distance FROM t a JOIN t b USING (seed) WHERE a.query < b.query GROUP BY 1, 2""")
 def overlap_distance(spark, sf):
-    s, q = _sides(spark, sf)
-    return rounded(metrics.top_overlap(rounded(mapping.similarity(q, s, "pearson_exact", 12), "score", digits=4), 10), "distance")
+    return rounded(metrics.top_overlap(_scores(spark, sf, "feature"), 10), "distance")
 
 
 @query(f"""WITH {COSTS}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score) AS i FROM cs)
