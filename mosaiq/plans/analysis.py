@@ -350,7 +350,7 @@ def map_assays(spark, sf):
 @query()
 def map_clusters(spark, sf):
     s, q = _sides(spark, sf)
-    return metrics.clusters(mapping.similarity(q, s), 10)
+    return metrics.clusters(mapping.similar(q, s), 10)
 
 
 @query(f"""WITH {CELLS}, {COUNTS}, g AS (SELECT feature, barcode, x, y, territory, coalesce(value, 0) AS v FROM cells CROSS JOIN (SELECT unnest(['Brand#11', 'Brand#23']) AS feature) LEFT JOIN counts USING (feature, barcode)),
