@@ -45,12 +45,14 @@ class SpatialAssay:
     active_embedding: str | None = None
 
     @staticmethod
-    def build(coordinates: DataFrame, counts: DataFrame | None = None, image: DataFrame | None = None, name: str = "spatial_omics", scale: float | str = "auto", unit: str = "um") -> SpatialAssay:
+    def build(coordinates: DataFrame, counts: DataFrame | None = None, image: DataFrame | None = None, name: str = "spatial_omics", scale: float | str = "auto", unit: str = "um", sparse: bool = False) -> SpatialAssay:
+        """Of the barcodes that coordinates and counts share. sparse: cells without a row of counts have only zeros, and stay."""
         if not isinstance(coordinates, DataFrame):
             raise TypeError("coordinates must be a DataFrame")
         cells = coordinates
         if counts is not None:
             cells, counts = shared_barcodes(coordinates, counts)
+            cells = coordinates if sparse else cells
         s = nn_scale(cells).first()["scale"] if scale == "auto" else float(scale)
         return SpatialAssay(name, snap(cells), {"raw": counts} if counts is not None else {}, image=image, meta={"scale": s, "unit": unit}, active_counts="raw" if counts is not None else "empty")._logged("build", scale=scale, unit=unit)
 
@@ -179,7 +181,8 @@ class SpatialAssay:
         return {"Segmentation": family("Segment"), "Territory": family("Territory"), "Morphing": family("Morphology"), "Layering": family("Layer")}
 
     def filtered(self, cells: list[str] | None = None, territories: list[str] | None = None, trial: str = "last", genes: list[str] | None = None) -> SpatialAssay:
-        """A fresh assay of the barcodes in cells or in the territories, and of the genes."""
+        """A fresh assay of the barcodes in cells or in the territories, and of the genes. Cells that have no count (of these
+        genes) stay."""
         if not (cells or territories or genes):
             raise ValueError("name cells, territories or genes")
         keep = self.cells.select("barcode")
@@ -191,7 +194,7 @@ class SpatialAssay:
         raw = self.get_counts("raw")
         if genes:
             raw = raw.where(F.col("feature").isin(genes))
-        return SpatialAssay.build(self.get_coordinates(True).join(keep, "barcode", "left_semi"), raw, name=self.name, scale=self.meta.get("scale", "auto"))
+        return SpatialAssay.build(self.get_coordinates(True).join(keep, "barcode", "left_semi"), raw, name=self.name, scale=self.meta.get("scale", "auto"), sparse=True)
 
     def with_markers(self, found: DataFrame, tag: str = "DEG") -> SpatialAssay:
         return replace(self, deg=self.deg | {trial_name(list(self.deg), tag): found})._logged("identify_markers", tag=tag)

@@ -360,7 +360,7 @@ def filter_assay(spark, sf):
     from ..assay import SpatialAssay
 
     c = retail_cells(spark, sf)
-    a = SpatialAssay.build(c.select("barcode", "x", "y"), retail_counts(spark, sf), scale=1.0).add_trial("Territory", c.select("barcode", F.col("territory").alias("label")))
+    a = SpatialAssay.build(c.select("barcode", "x", "y"), retail_counts(spark, sf), scale=1.0, sparse=True).add_trial("Territory", c.select("barcode", F.col("territory").alias("label")))
     return a.filtered(cells=["1", "2", "3"], territories=["BUILDING"]).get_coordinates(original=True)
 
 
